@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import secrets, url_filter
+from tidemark.llm import html, pieces, secrets, topk, url_filter
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
+    "op4_topk": topk.query,
     "op5_url_filter": url_filter.query,
     "op6_secret_scan": secrets.query,
+    "op8_html": html.query,
 }
-ORACLES = {"op5_url_filter": url_filter.ORACLE}
+ORACLES = {"op4_topk": topk.ORACLE, "op5_url_filter": url_filter.ORACLE}
