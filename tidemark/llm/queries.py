@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, pieces, secrets, topk, url_filter
+from tidemark.llm import decontaminate, html, jaccard, licenses, pieces, secrets, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_sentencepiece": pieces.query,
+    "op3_licenses": licenses.query,
     "op4_topk": topk.query,
     "op5_url_filter": url_filter.query,
     "op6_secret_scan": secrets.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_html": html.query,
+    "op9_jaccard_join": jaccard.query,
 }
 ORACLES = {"op4_topk": topk.ORACLE, "op5_url_filter": url_filter.ORACLE}
