@@ -55,11 +55,16 @@ class Index:
         self.by_len: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for i, w in split:
             self.by_len[len(w)].append((i, np.array([self.ids[x] for x in w])))
-        self.need, self.walk, self.pick, self.table = {}, {}, {}, {}
+        flat = [(i, s) for n in sorted(self.by_len) for i, s in self.by_len[n]]
+        self.size = np.array([len(s) for _, s in flat], np.int64)
+        self.slack = (RATE * self.size + 1e-9).astype(np.int64)
+        self.need = np.array([int(self.rare[s].sum()) for _, s in flat], np.int64) - self.slack
+        holds = sorted({(int(x), k) for k, (_, s) in enumerate(flat) for x in s if self.rare[x]})
+        self.owner = np.array([k for _, k in holds], np.int64)
+        self.start = np.searchsorted(np.array([x for x, _ in holds]), np.arange(len(self.ids) + 2))
+        self.walk, self.pick, self.table = {}, {}, {}
         for n, own in self.by_len.items():
-            slack = int(RATE * n + 1e-9)
-            self.need[n] = min(int(self.rare[s].sum()) for _, s in own) - slack
-            self.walk[n] = rng.integers(0, 2, (WALKS, 3 * n, 4096)).astype(np.int32)
+            self.walk[n] = rng.integers(1, 2**40, (WALKS, 3 * n)) | 1
             self.pick[n] = [np.sort(rng.choice(3 * n, min(BITS, 3 * n), replace=False)) for _ in range(REPEATS)]
             table = [defaultdict(list) for _ in range(REPEATS)]
             for k, keys in enumerate(self.samples(np.stack([s for _, s in own]), n).tolist()):
@@ -76,7 +81,7 @@ class Index:
             for t in range(3 * n):
                 c = padded[rows, at]
                 walked[:, t] = c
-                at = np.minimum(at + np.where(c >= 0, self.walk[n][v, t, c & 4095], 0), n)
+                at = np.minimum(at + np.where(c >= 0, (((c + 1) * self.walk[n][v, t]) >> 37) & 1, 0), n)
             for r in range(v, REPEATS, WALKS):
                 h = np.zeros(len(x), np.int64)
                 for p in self.pick[n][r]:
@@ -84,41 +89,79 @@ class Index:
                 out[:, r] = h
         return out
 
+    def windows(self, s: np.ndarray):
+        """Starts of windows, by length, that hold enough rare words of one item; items without enough rare words take every window."""
+        at = np.nonzero(self.rare[s])[0]
+        lo, hi = self.start[s[at]], self.start[s[at] + 1]
+        n_own = hi - lo
+        pos = np.repeat(at, n_own)
+        which = self.owner[np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(lo, n_own)]
+        order = np.lexsort((pos, which))
+        pos, which = pos[order], which[order]
+        last = np.arange(len(pos)) + np.maximum(self.need[which], 1) - 1
+        ok = last < len(pos)
+        end = np.minimum(last, max(len(pos) - 1, 0))
+        ok &= (which[end] == which) & (pos[end] - pos < self.size[which] + 2 * self.slack[which]) if len(pos) else ok
+        every = set(self.size[self.need <= 0].tolist())
+        found: dict[int, set[int]] = defaultdict(set)
+        for k in np.nonzero(ok)[0].tolist():
+            n, pad = int(self.size[which[k]]), int(self.slack[which[k]])
+            found[n].update(range(max(0, int(pos[end[k]]) - n - pad), int(pos[k]) + pad + 1))
+
+        def starts(n: int, count: int) -> np.ndarray:
+            if n in every:
+                return np.arange(count)
+            return np.array(sorted(x for x in found[n] if x < count) or ([0] if found[n] else []), np.int64)
+
+        return starts
+
     def scan(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, distance, first word) of each item that leaks into a text."""
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """scan() of many texts; windows of one length are embedded together."""
         get = self.ids.get
-        s = np.array([get(w, 0) for w in words(text)], np.int64)
-        best: dict[int, tuple[int, int]] = {}
-        if not s.any():
-            return []
-        total = np.concatenate([[0], np.cumsum(self.rare[s])])
-        for n, own in self.by_len.items():
-            pad = int(RATE * n + 1e-9)
-            padded = s if len(s) >= n else np.concatenate([s, np.zeros(n - len(s), np.int64)])
-            last = len(padded) - n + 1
-            lo, hi = np.maximum(np.arange(last) - pad, 0), np.minimum(np.arange(last) + n + pad, len(s))
-            starts = np.nonzero(total[hi] - total[lo] >= self.need[n])[0]
-            if not len(starts):
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        symbols: dict[int, np.ndarray] = {}
+        todo: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for d, text in enumerate(texts):
+            s = np.array([get(w, 0) for w in words(text)], np.int64)
+            if not s.any():
                 continue
+            windows = self.windows(s)
+            for n in self.by_len:
+                at = windows(n, max(1, len(s) - n + 1))
+                if len(at):
+                    symbols[d] = s
+                    todo[n].append((d, at))
+        for n, groups in todo.items():
+            docs = np.repeat([d for d, _ in groups], [len(at) for _, at in groups])
+            starts = np.concatenate([at for _, at in groups])
+            own, pad = self.by_len[n], int(RATE * n + 1e-9)
             for i in range(0, len(starts), 4096):
-                part = starts[i : i + 4096]
-                keys = self.samples(padded[part[:, None] + np.arange(n)], n)
-                tried: set[tuple[int, int]] = set()
+                part, doc = starts[i : i + 4096], docs[i : i + 4096]
+                x = np.zeros((len(part), n), np.int64)
+                for k, (d, p) in enumerate(zip(doc.tolist(), part.tolist(), strict=True)):
+                    got = symbols[d][p : p + n]
+                    x[k, : len(got)] = got
+                keys = self.samples(x, n)
+                tried: set[tuple[int, int, int]] = set()
                 for r in range(REPEATS):
                     table = self.table[n][r]
                     known = np.fromiter(table, np.int64, len(table))
                     for k in np.nonzero(np.isin(keys[:, r], known))[0].tolist():
+                        d, p = int(doc[k]), int(part[k])
                         for m in table[int(keys[k, r])]:
-                            p = int(part[k])
-                            item, symbols = own[m]
-                            if (m, p) in tried or best.get(item, (1, 0))[0] == 0:
+                            item, wanted = own[m]
+                            if (d, m, p) in tried or best[d].get(item, (1, 0))[0] == 0:
                                 continue
-                            tried.add((m, p))
+                            tried.add((d, m, p))
                             first = max(0, p - pad)
-                            d, end = nearest(symbols, s[first : p + n + pad])
-                            if d <= pad and d < best.get(item, (n + 1, 0))[0]:
-                                best[item] = (d, max(0, first + end - n))
-        return [(i, d, p) for i, (d, p) in sorted(best.items())]
+                            dist, end = nearest(wanted, symbols[d][first : p + n + pad])
+                            if dist <= pad and dist < best[d].get(item, (n + 1, 0))[0]:
+                                best[d][item] = (dist, max(0, first + end - n))
+        return [[(i, d, p) for i, (d, p) in sorted(b.items())] for b in best]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -132,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         def each(frames, block=block):
             index = Index(block)
             for f in frames:
-                got = [(d, *x) for d, t in zip(f["doc_id"], f["text"], strict=True) for x in index.scan(t)]
+                got = [(d, *x) for d, found in zip(f["doc_id"], index.scan_all(f["text"].tolist()), strict=True) for x in found]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "distance", "first_word"])
 
         part = src.mapInPandas(each, "doc_id long, item_id long, distance long, first_word long")
