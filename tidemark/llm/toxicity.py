@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 DECAY, SPAN, SIGNS, LONGEST, LANDMARKS = 0.7, 6, 40, 24, 320
 MAX_BAGS, WORD_ROWS, REMEMBER, CHECK_BAGS = 1500, 60_000, 300_000, 600
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+INNER = re.compile(r"[\W_]")
 RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -37,11 +38,12 @@ SIGN = {c: sign(chr(c)) for c in range(0x250)}
 
 
 def strings(text: str) -> set[str]:
-    """The distinct strings of a text: its words, and runs of single characters as one."""
+    """The distinct strings of a text: its words, also without inner signs, and runs of single characters as one."""
     low = text.lower()
     out = {x.strip(".,;:!?\"'()[]{}*#$%&|") for x in low.split()}
     for m in RUN.finditer(low):
         out.add(re.sub(r"[\s\W_]", "", m.group()))
+    out |= {INNER.sub("", x) for x in out if not x.isalnum()}
     out.discard("")
     return out
 
