@@ -54,6 +54,13 @@ ADAPTER = {
  i.order_id, i.product_id, customer_id, date_add(order_date, cast(12 + i.order_id % 9 as int)) as review_date,
  cast(1 + (i.product_id + l_linenumber) % 5 as int) as rating
  from order_items i join sorders o on i.order_id = o.order_id where l_returnflag = 'A' and order_status = 'delivered'""",
+    "lines": """select i.order_id, i.product_id, o.order_date, o.customer_id, o.zip, o.order_status, o.payment_method as order_payment_method,
+ pay.payment_method as payment_method_paid, pay.payment_value, pay.installments, o.device_type, o.order_source, c.city as customer_city, c.age_group,
+ c.acquisition_channel, g.city as shipping_city, g.region, g.district, p.category, p.segment, p.size, p.color, i.quantity, p.price as list_price,
+ i.unit_price, p.cogs as unit_cogs, i.discount_amount, i.promo_id, i.promo_id_2, i.quantity * p.price as line_list_revenue,
+ i.quantity * i.unit_price as line_net_revenue, i.quantity * p.cogs as line_cogs, i.quantity * (i.unit_price - p.cogs) as line_gross_profit
+ from order_items i join sorders o on i.order_id = o.order_id join products p on i.product_id = p.product_id
+ left join payments pay on i.order_id = pay.order_id left join customers c on o.customer_id = c.customer_id left join geography g on o.zip = g.zip""",
     "sales": """select order_date as sales_date, sum(quantity * unit_price) as revenue, sum(quantity * cogs) as cogs
  from order_items i join sorders o on i.order_id = o.order_id join products p on i.product_id = p.product_id group by order_date""",
     "web_traffic": """select order_date as traffic_date, cast(40 * count(*) + 100 + day(order_date) * 3 as double) as sessions, cast(30 * count(*) + 80 as double) as unique_visitors,
