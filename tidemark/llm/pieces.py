@@ -15,7 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MARK, REMEMBER, BYTE_PENALTY = "▁", 200_000, 1e6
+MARK, REMEMBER, BYTE_PENALTY = "▁", 500_000, 1e6
 
 
 def model_path() -> str:
@@ -41,6 +41,7 @@ class Codec:
                 self.ids[p] = (i, sp.get_score(i))
         self.unbyte = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:i]: None for p in self.ids for i in range(1, len(p))} | self.ids
         self.split = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.known: dict[str, list[int]] = {}
         self.widest = 0
@@ -85,6 +86,35 @@ class Codec:
                 self.widest = max(self.widest, end - base)
         return out
 
+    def word(self, w: str) -> list[int]:
+        """viterbi() of a string no longer than the window, ended early where no piece goes on."""
+        n, get = len(w), self.prefixes.get
+        best: list[float | None] = [None] * (n + 1)
+        back: list = [None] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            base = best[start]
+            if base is None:  # no piece ends here
+                base = best[start] = best[start - 1] - BYTE_PENALTY
+                back[start] = (start - 1, None)
+            for end in range(start + 1, n + 1):
+                hit = get(w[start:end], 0)
+                if hit:
+                    s = base + hit[1]
+                    if best[end] is None or s > best[end]:
+                        best[end], back[end] = s, (start, hit[0])
+                elif hit == 0:
+                    break
+        if best[n] is None:
+            back[n] = (n - 1, None)
+        out: list[int] = []
+        while n:
+            start, i = back[n]
+            out.extend([i] if i is not None else [self.byte[b] for b in reversed(w[start:n].encode("utf-8", "surrogatepass"))])
+            n = start
+        out.reverse()
+        return out
+
     def encode(self, text: str) -> list[int]:
         marked = MARK + text.replace(" ", MARK) if text else ""
         if not self.split:
@@ -103,7 +133,7 @@ class Codec:
             if ids is None:
                 if len(known) >= REMEMBER:
                     known.clear()
-                ids = self.viterbi(w)
+                ids = self.word(w) if len(w) <= self.longest else self.viterbi(w)
                 if len(w) <= 64:
                     known[w] = ids
             out.extend(ids)
