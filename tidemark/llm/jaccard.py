@@ -128,19 +128,25 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable over edges (a, b), by label passing and jumping."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = saved(both)
-    lab = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).select(F.col("a").alias("node"), "c"))
-    while True:
-        near = both.join(lab.select(F.col("node").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).select(F.col("a").alias("node"), "m")
-        new = lab.join(near, "node", "left").select("node", "c", F.least("c", F.coalesce("m", "c")).alias("d"))
-        hop = lab.select(F.col("node").alias("d"), F.col("c").alias("e"))
-        new = saved(new.join(hop, "d", "left").select("node", "c", F.least("d", F.coalesce("e", "d")).alias("d")))
-        moved = new.filter("c <> d").limit(1).count()
-        lab = new.select("node", F.col("d").alias("c"))
-        if not moved:
-            return lab.select("node", F.col("c").alias("component"))
+    """(node, component): smallest node reachable over edges (a, b).
+
+    Each round points a node to its smallest neighbour, follows the pointers twice and contracts
+    the edges, so that rounds shrink."""
+    e = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    label = e.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    started = False
+    while e.limit(1).count():
+        near = saved(e.select(F.col("b").alias("node"), F.col("a").alias("c")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("c"))).groupBy("node").agg(F.min("c").alias("c")))
+        hop = near.select(F.col("node").alias("c"), F.col("c").alias("d"))
+        step = saved(near.join(hop, "c").select("node", F.col("d").alias("c")))
+        if started:
+            label = label.join(step.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+        else:
+            label, started = step.withColumnRenamed("c", "component"), True
+        label = saved(label)
+        to_a, to_b = step.select(F.col("node").alias("a"), F.col("c").alias("x")), step.select(F.col("node").alias("b"), F.col("c").alias("y"))
+        e = saved(e.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return label
 
 
 def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
