@@ -149,6 +149,28 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def star(keyed: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node of a cell to the smallest node of that cell."""
+    shared = keyed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("cell", "lo")
+    return keyed.join(shared, "cell").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+
+
+def cell_blocks(reps: DataFrame) -> DataFrame:
+    """(node, component) of the sets that share cells, directly or through others.
+
+    The smallest two cells of each set join most near copies at small cost. After that a
+    joined group is one node with the distinct cells of its members, so a large group of near
+    copies does not bring each of its cells once for each member."""
+    few = reps.select(F.col("digest").alias("node"), F.explode(F.slice(F.array_sort("cells"), 1, 2)).alias("cell"))
+    near = components(star(few))
+    keyed = reps.select(F.col("digest").alias("node"), F.explode("cells").alias("cell"))
+    keyed = keyed.join(near, "node", "left").select(F.coalesce("component", "node").alias("node"), "cell").distinct()
+    wide = components(star(saved(keyed)))
+    up = wide.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    grown = near.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return saved(grown.unionByName(wide.join(near.select("node"), "node", "left_anti")))
+
+
 def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -165,11 +187,8 @@ def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc
             })
 
     prof = saved(src.mapInPandas(profile, "doc_id long, n_shingles long, digest long, digest2 long, cells array<long>"))
-    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep")))
-    keyed = prof.filter("n_shingles > 0").select("digest", F.explode("cells").alias("cell"))
-    shared = keyed.groupBy("cell").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("cell", "lo")
-    star = keyed.join(shared, "cell").filter("digest <> lo").select(F.col("digest").alias("a"), F.col("lo").alias("b")).distinct()
-    blocks = components(star)
+    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")))
+    blocks = cell_blocks(reps)
     work = blocks.join(reps, F.col("node") == F.col("digest")).select(F.col("component").alias("block"), "rep")
     work = work.join(src, F.col("rep") == F.col("doc_id")).select("block", "rep", "text")
     parts = work.groupBy("block").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
