@@ -6,6 +6,8 @@ the same text serves the views of a query and the common table expressions of it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -78,20 +80,50 @@ ADAPTER = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Read the star-schema tables and derive the retail inputs, all lazily.
+def needs(*names: str) -> list[str]:
+    """The named inputs and those they are derived from, in an order that builds."""
+    need: list[str] = []
+
+    def add(n: str) -> None:
+        for w in re.findall(r"\b(?:from|join)\s+([a-z]\w*)\b", ADAPTER[n]):
+            if w in ADAPTER and w != n and w not in need:
+                add(w)
+        if n not in need:
+            need.append(n)
+
+    for n in names:
+        add(n)
+    return need
+
+
+def load(spark: SparkSession, sf_dir: str, names=tuple(ADAPTER)) -> dict[str, DataFrame]:
+    """Read the star-schema tables and derive the named retail inputs, all lazily.
 
     Each table is a DataFrame; nothing is registered in the session catalog."""
     frames = {f"t_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, text in ADAPTER.items():
-        frames[name] = run(spark, frames, text)
+    for name in needs(*names):
+        frames[name] = run(spark, frames, ADAPTER[name])
     return frames
 
 
+#: Calls that the two engines spell differently: name -> (Spark, checking engine).
+DIALECT = {
+    "days_between": (r"datediff(\2, \1)", r"cast(date_diff('day', \1, \2) as int)"),
+    "day_range": (r"explode(sequence(\1, \2))", r"cast(unnest(generate_series(\1, \2, interval 1 day)) as date)"),
+    "weekday_of": (r"(dayofweek(\1) - 1)", r"cast(dayofweek(\1) as int)"),
+}
+
+
+def spelled(text: str, engine: int) -> str:
+    for name, forms in DIALECT.items():
+        two = r"([^(),]+(?:\([^()]*\))?), ([^(),]+(?:\([^()]*\))?)" if "\\2" in forms[0] else r"([^()]+)"
+        text = re.sub(rf"\b{name}\({two}\)", forms[engine], text)
+    return text
+
+
 def run(spark: SparkSession, frames: dict[str, DataFrame], text: str) -> DataFrame:
     """SQL over named DataFrames; each name in the text that is a frame is bound to it."""
-    import re
-
+    text = spelled(text, 0)
     used = sorted({w for w in re.findall(r"\b[a-z]\w*\b", text) if w in frames})
     for w in used:
         text = re.sub(rf"(?<=\bfrom )({w})\b|(?<=\bjoin )({w})\b|(?<=\bfrom\n)({w})\b", "{" + w + "} as " + w + "__x", text)
@@ -102,18 +134,5 @@ def run(spark: SparkSession, frames: dict[str, DataFrame], text: str) -> DataFra
 
 def ctes(*names: str) -> str:
     """The WITH clause that gives a checking query the named inputs and what they need."""
-    need: list[str] = []
-
-    def add(n: str) -> None:
-        import re
-
-        for w in re.findall(r"\b[a-z]\w*\b", ADAPTER.get(n, "")):
-            if w in ADAPTER and w != n and w not in need:
-                add(w)
-        if n not in need:
-            need.append(n)
-
-    for n in names:
-        add(n)
     raw = ", ".join(f"t_{t} as (select * from {t})" for t in TABLES)
-    return f"with {raw}, " + ", ".join(f"{n} as ({ADAPTER[n]})" for n in need)
+    return f"with {raw}, " + ", ".join(f"{n} as ({spelled(ADAPTER[n], 1)})" for n in needs(*names))
