@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import marts
+from tidemark.plans import marts, segments
 
 
 def queries():
-    return marts.queries()
+    return marts.queries() | segments.queries()
 
 
 def oracle_sql():
-    return marts.oracle_sql()
+    return marts.oracle_sql() | segments.oracle_sql()
