@@ -89,8 +89,8 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.float32)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
             split = [pieces(w) for w in part]
             flat = [p for ps in split for p in ps]
             c, v = features(flat)
@@ -117,16 +117,25 @@ def sentences(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "toxic", w.alias("w")).filter("w != ''")
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 12):
-    """Squared-hinge linear machine by Newton steps; returns weights, the last one the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    reg = np.eye(x.shape[1])
+def svm(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 12, part: int = 4096):
+    """Squared-hinge linear machine by Newton steps; returns weights, the last one the offset.
+
+    Blocks of rows are read in parts, so that no whole copy of them is made."""
+    width = blocks[0].shape[1] + 1
+    starts = np.cumsum([0] + [len(x) for x in blocks])
+    parts = [(x[i : i + part], slice(o + i, o + min(i + part, len(x)))) for x, o in zip(blocks, starts, strict=False) for i in range(0, len(x), part)]
+    reg = np.eye(width)
     reg[-1, -1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(steps):
-        bad = y * (x @ w) < 1
-        a = x[bad] * weight[bad, None]
-        new = np.linalg.solve(reg + c * x[bad].T @ a, c * a.T @ y[bad])
+        gram, side = reg.copy(), np.zeros(width)
+        for x, at in parts:
+            bad = y[at] * (x @ w[:-1] + w[-1]) < 1
+            own = np.hstack([x[bad], np.ones((int(bad.sum()), 1))])
+            a = own * weight[at][bad, None]
+            gram += c * own.T @ a
+            side += c * a.T @ y[at][bad]
+        new = np.linalg.solve(gram, side)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -140,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     sample = one(1, MAX_BAGS).unionByName(one(0, 2 * MAX_BAGS))
     rows = docs.filter("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     seen = sentences(rows)
-    counts = seen.groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((1 - F.col("toxic")).cast("long")).alias("c"))
+    counts = seen.groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((1 - F.col("toxic")).cast("long")).alias("c")).persist()
     clean = counts.filter("c > 0").orderBy(F.desc("c"), F.xxhash64("w")).limit(WORD_ROWS // 3).select("w", "c").toPandas()
     only = counts.filter("t > 0 and c = 0").orderBy(F.desc("t"), F.xxhash64("w")).limit(WORD_ROWS).select("w", "t")
     rare = counts.filter("t = 0").orderBy(F.xxhash64("w")).limit(WORD_ROWS // 3).select("w", "c").toPandas()
@@ -163,11 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         dense[mc[j], j] += mv[j]
     dense[0] = 0
 
-    def kernel(words):
-        out = np.empty((len(words), len(marks)), np.float32)
-        for i in range(0, len(words), 500):
-            c, v = features([w[:LONGEST] for w in words[i : i + 500]])
-            out[i : i + len(c)] = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[c])
+    def kernel(words, turn=None):
+        """Kernel values of words and landmarks, a few words at a time; turn maps them to Nystroem coordinates."""
+        out = np.empty((len(words), len(marks)), np.float32 if turn is None else np.float64)
+        for i in range(0, len(words), 100):
+            c, v = features([w[:LONGEST] for w in words[i : i + 100]])
+            k = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[c])
+            out[i : i + len(c)] = k if turn is None else k @ turn
         return out
 
     kmm = kernel(marks).astype(float)
@@ -178,31 +189,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         for d in ids:
             bag_of.setdefault(d, []).append(i)
     gapped = lambda w: [w[:i] + ch + w[i:] for i, ch in ((len(w) // 2, "x"), (len(w) // 3 + 1, "1"), (2 * len(w) // 3, "-"))] + ["-".join(w)]
-    zp, zn = kernel(pos) @ root, kernel(neg) @ root
+    zp, zn = kernel(pos, root), kernel(neg, root)
     t = bags["t"].to_numpy(float)
     chosen, wt = np.arange(len(pos)), (t / t.sum()) * n_bags
     neg_weight, known_neg = np.minimum(clean["c"].to_numpy(float), 5.0), set(neg)
+    # as objects: an array of strings would give each row the room of the longest
+    inverse, vocabulary = pd.factorize(held.pop("w"), sort=True)
+    vocabulary = vocabulary.tolist()
     for step in range(5):
         extra = [g for i in chosen if step > 0 for g in gapped(pos[i])][:4000]
-        ze = kernel(extra) @ root if extra else np.empty((0, len(marks)))
-        x = np.vstack([zp[chosen], ze, zn])
+        ze = kernel(extra, root) if extra else np.empty((0, len(marks)))
         y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(len(zn))])
         weights = np.concatenate([wt, np.full(len(extra), 0.2), neg_weight])
-        w = svm(x, y, weights)
+        w = svm([zp[chosen], ze, zn], y, weights)
         f = zp @ w[:-1] + w[-1]
         best = {max(ix, key=lambda i: (f[i] + 0.15 * np.log1p(t[i]), -i)) for ix in bag_of.values()}
         strong = {i for ix in bag_of.values() for i in ix if f[i] > 0.5 and t[i] > 1}
         chosen = np.array(sorted(best | strong))
         wt = np.ones(len(chosen))
         scorer = Scorer((dense @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 8.0, 0.0)
-        vocabulary, inverse = np.unique(held["w"].to_numpy(str), return_inverse=True)
-        g = scorer.words(vocabulary.tolist())
+        g = scorer.words(vocabulary)
         if step < 4:  # clean strings on the wrong side join the negatives
-            hard = [v for v, x in zip(vocabulary.tolist(), g, strict=True) if x > -0.6][:6000]
+            hard = [v for v, x in zip(vocabulary, g, strict=True) if x > -0.6][:6000]
             hard = [v for v in hard if v not in known_neg]
             known_neg.update(hard)
             if hard:
-                zn = np.vstack([zn, kernel(hard) @ root])
+                zn = np.vstack([zn, kernel(hard, root)])
                 neg_weight = np.concatenate([neg_weight, np.full(len(hard), 3.0)])
     tops = np.array([max(f[i] for i in ix) for ix in bag_of.values()])
     calm = pd.Series(g[inverse]).groupby(held["doc_id"].to_numpy()).max().to_numpy()
