@@ -117,25 +117,27 @@ def sentences(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "toxic", w.alias("w")).filter("w != ''")
 
 
-def svm(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 12, part: int = 4096):
+def svm(blocks: list[np.ndarray], root: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 12, part: int = 4096):
     """Squared-hinge linear machine by Newton steps; returns weights, the last one the offset.
 
-    Blocks of rows are read in parts, so that no whole copy of them is made."""
-    width = blocks[0].shape[1] + 1
+    Rows are kernel values, and root maps them to Nystroem coordinates; as sums over rows are taken before root
+    is applied, the mapped rows are never held."""
+    width = root.shape[1] + 1
     starts = np.cumsum([0] + [len(x) for x in blocks])
     parts = [(x[i : i + part], slice(o + i, o + min(i + part, len(x)))) for x, o in zip(blocks, starts, strict=False) for i in range(0, len(x), part)]
-    reg = np.eye(width)
+    reg, turn = np.eye(width), np.eye(width)
     reg[-1, -1] = 1e-3
+    turn[:-1, :-1] = root
     w = np.zeros(width)
     for _ in range(steps):
-        gram, side = reg.copy(), np.zeros(width)
+        gram, side, v = np.zeros((width, width)), np.zeros(width), turn @ w
         for x, at in parts:
-            bad = y[at] * (x @ w[:-1] + w[-1]) < 1
-            own = np.hstack([x[bad], np.ones((int(bad.sum()), 1))])
+            bad = y[at] * (x @ v[:-1] + v[-1]) < 1
+            own = np.hstack([x[bad].astype(float), np.ones((int(bad.sum()), 1))])
             a = own * weight[at][bad, None]
-            gram += c * own.T @ a
-            side += c * a.T @ y[at][bad]
-        new = np.linalg.solve(gram, side)
+            gram += own.T @ a
+            side += a.T @ y[at][bad]
+        new = np.linalg.solve(reg + c * turn.T @ gram @ turn, c * turn.T @ side)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -172,15 +174,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         dense[mc[j], j] += mv[j]
     dense[0] = 0
 
-    def kernel(words, turn=None):
-        """Kernel values of words and landmarks, a few words at a time; turn maps them to Nystroem coordinates."""
-        out = np.empty((len(words), len(marks)), np.float32 if turn is None else np.float64)
+    def kernel(words):
+        out = np.empty((len(words), len(marks)), np.float32)
         for i in range(0, len(words), 100):
             c, v = features([w[:LONGEST] for w in words[i : i + 100]])
-            k = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[c])
-            out[i : i + len(c)] = k if turn is None else k @ turn
+            out[i : i + len(c)] = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[c])
         return out
 
+    def by_part(x, v):
+        return np.concatenate([x[i : i + 4096] @ v for i in range(0, len(x), 4096)])
+
     kmm = kernel(marks).astype(float)
     val, vec = np.linalg.eigh(kmm + 1e-6 * np.eye(len(marks)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
@@ -189,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         for d in ids:
             bag_of.setdefault(d, []).append(i)
     gapped = lambda w: [w[:i] + ch + w[i:] for i, ch in ((len(w) // 2, "x"), (len(w) // 3 + 1, "1"), (2 * len(w) // 3, "-"))] + ["-".join(w)]
-    zp, zn = kernel(pos, root), kernel(neg, root)
+    kp, kn = kernel(pos), kernel(neg)
     t = bags["t"].to_numpy(float)
     chosen, wt = np.arange(len(pos)), (t / t.sum()) * n_bags
     neg_weight, known_neg = np.minimum(clean["c"].to_numpy(float), 5.0), set(neg)
@@ -198,23 +201,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     vocabulary = vocabulary.tolist()
     for step in range(5):
         extra = [g for i in chosen if step > 0 for g in gapped(pos[i])][:4000]
-        ze = kernel(extra, root) if extra else np.empty((0, len(marks)))
-        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(len(zn))])
+        ke = kernel(extra) if extra else np.empty((0, len(marks)), np.float32)
+        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(len(kn))])
         weights = np.concatenate([wt, np.full(len(extra), 0.2), neg_weight])
-        w = svm([zp[chosen], ze, zn], y, weights)
-        f = zp @ w[:-1] + w[-1]
+        w = svm([kp[chosen], ke, kn], root, y, weights)
+        f = by_part(kp, root @ w[:-1]) + w[-1]
         best = {max(ix, key=lambda i: (f[i] + 0.15 * np.log1p(t[i]), -i)) for ix in bag_of.values()}
         strong = {i for ix in bag_of.values() for i in ix if f[i] > 0.5 and t[i] > 1}
         chosen = np.array(sorted(best | strong))
         wt = np.ones(len(chosen))
-        scorer = Scorer((dense @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 8.0, 0.0)
+        scorer = Scorer(by_part(dense, root @ w[:-1]).astype(np.float32), float(w[-1]), 8.0, 0.0)
         g = scorer.words(vocabulary)
         if step < 4:  # clean strings on the wrong side join the negatives
             hard = [v for v, x in zip(vocabulary, g, strict=True) if x > -0.6][:6000]
             hard = [v for v in hard if v not in known_neg]
             known_neg.update(hard)
             if hard:
-                zn = np.vstack([zn, kernel(hard, root)])
+                kn = np.vstack([kn, kernel(hard)])
                 neg_weight = np.concatenate([neg_weight, np.full(len(hard), 3.0)])
     tops = np.array([max(f[i] for i in ix) for ix in bag_of.values()])
     calm = pd.Series(g[inverse]).groupby(held["doc_id"].to_numpy()).max().to_numpy()
