@@ -67,6 +67,10 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def digest(s: np.ndarray) -> int:
+    return int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
+
+
 def size_class(n: int, j: float) -> int:
     """Classes of sizes by powers of 1/j, so that linked sizes are in the same or the next class."""
     return int(np.floor(np.log(n) / np.log(1 / j) + 1e-9))
@@ -149,26 +153,68 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def star(keyed: DataFrame) -> DataFrame:
-    """Edges (a, b) from each node of a cell to the smallest node of that cell."""
-    shared = keyed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("cell", "lo")
-    return keyed.join(shared, "cell").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
-
+def forest(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct nodes, each one's root over shared cells, and the row of each root entry that stands for its cell."""
+    ids, at = np.unique(node, return_inverse=True)
+    order = np.argsort(cell, kind="stable")
+    same = cell[order][1:] == cell[order][:-1]
+    a, b = at[order][1:][same], at[order][:-1][same]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label], order[np.concatenate([[True], ~same])] if len(cell) else order
+
+
+def shared_cells(src: DataFrame, n: int, j: float) -> DataFrame:
+    """Edges (a, b) between set digests that join the sets which share a cell, directly or through others.
+
+    Each batch of documents joins its own first and then holds a cell once, so a cell that
+    many documents hold is small before the shuffle. Cells travel packed, by buckets of
+    about a million, and a bucket gives a forest of edges."""
+    chars = src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // 10_000_000)
+
+    def pack(frames):
+        for f in frames:
+            own = {}
+            for t in f["text"]:
+                s = shingles(t, n)
+                if len(s):
+                    own.setdefault(digest(s), s)
+            keys = [np.array(cells(s, j), np.int64) for s in own.values()]
+            if not keys:
+                continue
+            node = np.repeat(np.array(list(own), np.int64), [len(k) for k in keys])
+            cell = np.concatenate(keys)
+            ids, root, first = forest(cell, node)
+            up = root[np.searchsorted(ids, node[first])]
+            low = ids != root  # a joined set and its root share a cell of their own
+            tie = mix(root[low].astype(np.uint64) + np.uint64(11)).astype(np.int64)
+            cell, node = np.concatenate([cell[first], tie, tie]), np.concatenate([up, ids[low], root[low]])
+            bucket = cell % buckets
+            order = np.lexsort((node, bucket))
+            cell, node, bucket = cell[order], node[order], bucket[order]
+            cuts = np.nonzero(np.diff(bucket))[0] + 1
+            yield pd.DataFrame({
+                "bucket": bucket[np.concatenate([[0], cuts])],
+                "node": [x.tobytes() for x in np.split(node, cuts)],
+                "cell": [x.tobytes() for x in np.split(cell, cuts)],
+            })
 
-def cell_blocks(reps: DataFrame) -> DataFrame:
-    """(node, component) of the sets that share cells, directly or through others.
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        ids, root, _ = forest(np.frombuffer(b"".join(f["cell"]), np.int64), np.frombuffer(b"".join(f["node"]), np.int64))
+        low = ids != root
+        return pd.DataFrame({"a": ids[low], "b": root[low]})
 
-    The smallest two cells of each set join most near copies at small cost. After that a
-    joined group is one node with the distinct cells of its members, so a large group of near
-    copies does not bring each of its cells once for each member."""
-    few = reps.select(F.col("digest").alias("node"), F.explode(F.slice(F.array_sort("cells"), 1, 2)).alias("cell"))
-    near = components(star(few))
-    keyed = reps.select(F.col("digest").alias("node"), F.explode("cells").alias("cell"))
-    keyed = keyed.join(near, "node", "left").select(F.coalesce("component", "node").alias("node"), "cell").distinct()
-    wide = components(star(saved(keyed)))
-    up = wide.select(F.col("node").alias("component"), F.col("component").alias("root"))
-    grown = near.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    return saved(grown.unionByName(wide.join(near.select("node"), "node", "left_anti")))
+    packed = src.select("text").mapInPandas(pack, "bucket long, node binary, cell binary")
+    return packed.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
 def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +227,13 @@ def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc
             yield pd.DataFrame({
                 "doc_id": f["doc_id"],
                 "n_shingles": [len(s) for s in own],
-                "digest": [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in own],
+                "digest": [digest(s) for s in own],
                 "digest2": [int(mix(s * M1 + np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in own],
-                "cells": [cells(s, j) if len(s) else [] for s in own],
             })
 
-    prof = saved(src.mapInPandas(profile, "doc_id long, n_shingles long, digest long, digest2 long, cells array<long>"))
-    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")))
-    blocks = cell_blocks(reps)
+    prof = saved(src.mapInPandas(profile, "doc_id long, n_shingles long, digest long, digest2 long"))
+    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep")))
+    blocks = components(shared_cells(src, n, j))
     work = blocks.join(reps, F.col("node") == F.col("digest")).select(F.col("component").alias("block"), "rep")
     work = work.join(src, F.col("rep") == F.col("doc_id")).select("block", "rep", "text")
     parts = work.groupBy("block").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
