@@ -169,16 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     marks = heavy + [neg[i] for i in rng.choice(len(neg), min(len(neg), LANDMARKS - len(heavy)), replace=False)]
     marks = [m[:LONGEST] for m in marks]
     mc, mv = features(marks)
-    dense = np.zeros((SIGNS**3, len(marks)), np.float32)
+    used, row = np.unique(mc, return_inverse=True)  # the landmarks' subsequences; all others share a last row of zeros
+    row = row.reshape(mc.shape)
+    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
     for j in range(len(marks)):
-        dense[mc[j], j] += mv[j]
-    dense[0] = 0
+        dense[row[j], j] += mv[j]
+    dense[:-1][used == 0] = 0
+    at = np.full(SIGNS**3, len(used), np.int32)
+    at[used] = np.arange(len(used))
 
     def kernel(words):
         out = np.empty((len(words), len(marks)), np.float32)
         for i in range(0, len(words), 100):
             c, v = features([w[:LONGEST] for w in words[i : i + 100]])
-            out[i : i + len(c)] = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[c])
+            out[i : i + len(c)] = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[at[c]])
         return out
 
     def by_part(x, v):
@@ -192,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         for d in ids:
             bag_of.setdefault(d, []).append(i)
     gapped = lambda w: [w[:i] + ch + w[i:] for i, ch in ((len(w) // 2, "x"), (len(w) // 3 + 1, "1"), (2 * len(w) // 3, "-"))] + ["-".join(w)]
-    kp, kn = kernel(pos), kernel(neg)
+    kp, kn = kernel(pos), [kernel(neg)]
     t = bags["t"].to_numpy(float)
     chosen, wt = np.arange(len(pos)), (t / t.sum()) * n_bags
     neg_weight, known_neg = np.minimum(clean["c"].to_numpy(float), 5.0), set(neg)
@@ -202,22 +206,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     for step in range(5):
         extra = [g for i in chosen if step > 0 for g in gapped(pos[i])][:4000]
         ke = kernel(extra) if extra else np.empty((0, len(marks)), np.float32)
-        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(len(kn))])
+        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(sum(map(len, kn)))])
         weights = np.concatenate([wt, np.full(len(extra), 0.2), neg_weight])
-        w = svm([kp[chosen], ke, kn], root, y, weights)
+        w = svm([kp[chosen], ke, *kn], root, y, weights)
         f = by_part(kp, root @ w[:-1]) + w[-1]
         best = {max(ix, key=lambda i: (f[i] + 0.15 * np.log1p(t[i]), -i)) for ix in bag_of.values()}
         strong = {i for ix in bag_of.values() for i in ix if f[i] > 0.5 and t[i] > 1}
         chosen = np.array(sorted(best | strong))
         wt = np.ones(len(chosen))
-        scorer = Scorer(by_part(dense, root @ w[:-1]).astype(np.float32), float(w[-1]), 8.0, 0.0)
+        scorer = Scorer(by_part(dense, root @ w[:-1]).astype(np.float32)[at], float(w[-1]), 8.0, 0.0)
         g = scorer.words(vocabulary)
         if step < 4:  # clean strings on the wrong side join the negatives
             hard = [v for v, x in zip(vocabulary, g, strict=True) if x > -0.6][:6000]
             hard = [v for v in hard if v not in known_neg]
             known_neg.update(hard)
             if hard:
-                kn = np.vstack([kn, kernel(hard)])
+                kn.append(kernel(hard))
                 neg_weight = np.concatenate([neg_weight, np.full(len(hard), 3.0)])
     tops = np.array([max(f[i] for i in ix) for ix in bag_of.values()])
     calm = pd.Series(g[inverse]).groupby(held["doc_id"].to_numpy()).max().to_numpy()
