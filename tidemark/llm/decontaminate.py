@@ -28,17 +28,36 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Least edit distance of item to a stretch of text, and where that stretch ends."""
-    row = np.zeros(len(text) + 1, np.int64)
-    steps = np.arange(len(text) + 1)
-    for i, x in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != x), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(row.argmin())
-    return int(row[end]), end
+def nearest(items: np.ndarray, texts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of rows the least edit distance of the item to a stretch of the text, and where the first such stretch ends.
+
+    A row's least value never falls from one item word to the next, so pairs beyond limit are
+    left as soon as they pass it; their distance reads limit + 1. Zeros after a text match nothing."""
+    pairs, n = items.shape
+    width = texts.shape[1]
+    dist, end = np.full(pairs, limit + 1, np.int64), np.zeros(pairs, np.int64)
+    steps = np.arange(width + 1, dtype=np.int32)[:, None]
+    for first in range(0, pairs, 1024):
+        at = np.arange(first, min(first + 1024, pairs))
+        item, text = items[at].T, np.ascontiguousarray(texts[at].T)
+        row = np.zeros((width + 1, len(at)), np.int32)
+        for i in range(n):
+            new = np.empty_like(row)
+            new[0] = i + 1
+            np.minimum(row[:-1] + (text != item[i]), row[1:] + 1, out=new[1:])
+            new -= steps
+            np.minimum.accumulate(new, axis=0, out=new)
+            new += steps
+            row = new
+            if i % 4 == 3 or i == n - 1:
+                on = row.min(axis=0) <= limit
+                if not on.all():
+                    at, row, item, text = at[on], row[:, on], item[:, on], text[:, on]
+                if not len(at):
+                    break
+        if len(at):
+            dist[at], end[at] = row.min(axis=0), row.argmin(axis=0)
+    return dist, end
 
 
 class Index:
@@ -146,21 +165,26 @@ class Index:
                     got = symbols[d][p : p + n]
                     x[k, : len(got)] = got
                 keys = self.samples(x, n)
-                tried: set[tuple[int, int, int]] = set()
+                tried: set[tuple[int, int]] = set()
                 for r in range(REPEATS):
                     table = self.table[n][r]
                     known = np.fromiter(table, np.int64, len(table))
                     for k in np.nonzero(np.isin(keys[:, r], known))[0].tolist():
-                        d, p = int(doc[k]), int(part[k])
-                        for m in table[int(keys[k, r])]:
-                            item, wanted = own[m]
-                            if (d, m, p) in tried or best[d].get(item, (1, 0))[0] == 0:
-                                continue
-                            tried.add((d, m, p))
-                            first = max(0, p - pad)
-                            dist, end = nearest(wanted, symbols[d][first : p + n + pad])
-                            if dist <= pad and dist < best[d].get(item, (n + 1, 0))[0]:
-                                best[d][item] = (dist, max(0, first + end - n))
+                        tried.update((k, m) for m in table[int(keys[k, r])])
+                pairs = np.array(sorted(tried), np.int64).reshape(-1, 2)
+                for j in range(0, len(pairs), 4096):
+                    rows, which = pairs[j : j + 4096].T
+                    wanted, near = np.stack([own[m][1] for m in which.tolist()]), np.zeros((len(rows), n + 2 * pad), np.int64)
+                    starts_at = np.maximum(part[rows] - pad, 0)
+                    for k, (d, lo, p) in enumerate(zip(doc[rows].tolist(), starts_at.tolist(), part[rows].tolist(), strict=True)):
+                        got = symbols[d][lo : p + n + pad]
+                        near[k, : len(got)] = got
+                    dist, end = nearest(wanted, near, pad)
+                    for k in np.nonzero(dist <= pad)[0].tolist():
+                        d, item = int(doc[rows[k]]), own[which[k]][0]
+                        found = (int(dist[k]), max(0, int(starts_at[k] + end[k]) - n))
+                        if found < best[d].get(item, (n + 1, 0)):
+                            best[d][item] = found
         return [[(i, d, p) for i, (d, p) in sorted(b.items())] for b in best]
 
 
