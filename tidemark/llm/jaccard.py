@@ -1,9 +1,10 @@
 """N-gram Jaccard join by count vectors in R-trees.
 
 A document is its set of distinct word shingles. Hashing deals a set's shingles into groups. Two sets with
-Jaccard J differ in at most (1-J)/(1+J) of their summed sizes, so with one group more than
-that, at least one group is alike in both: a group's content is the cell key, an equality
-join without loss. Documents that share cells, directly or through others, form a block of work;
+Jaccard J differ in at most (1-J)/J of the smaller size, so a set with more filled groups than
+that has one that is filled and alike in both: a group's content is the cell key. A set that has
+fewer filled groups is dealt again by another hash, and after ROUNDS such deals takes one key
+that all such sets share, so the equality join is without loss. Documents that share cells, directly or through others, form a block of work;
 within it the group counts are points of an R-tree, a node's corners bound the overlap by
 summed coordinate minima, and surviving pairs are verified on their shingles. Links that
 would join what is joined already are not verified again.
@@ -15,11 +16,13 @@ Large blocks are cut into parts, and each pair of parts is its own group.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-DIMS, FANOUT, PART_ROWS = 32, 32, 3000
+DIMS, FANOUT, PART_ROWS, ROUNDS = 32, 32, 3000, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
 
@@ -76,19 +79,44 @@ def size_class(n: int, j: float) -> int:
     return int(np.floor(np.log(n) / np.log(1 / j) + 1e-9))
 
 
+def most_apart(n: float, j: float) -> int:
+    """Most shingles by which a set of n can differ from a set that it links with."""
+    return int((1 - j) / j * n + 1e-9)
+
+
+@lru_cache(maxsize=4096)
+def n_groups(top: int, j: float) -> int:
+    """Groups for sets of up to top shingles: so many that mostly more are filled than two linked sets can differ in."""
+    d = need = most_apart(top, j) + 1
+    while d < 2 * top:
+        empty = d * (1 - 1 / d) ** top
+        if d - empty - empty**0.5 >= need - 0.5:
+            break
+        d += max(1, d // 100)
+    return d
+
+
 def cells(s: np.ndarray, j: float) -> list[int]:
-    """Cell keys of a set: content hashes of its groups, for its own class and the one below."""
+    """Cell keys of a set: content hashes of its filled groups, for its own class and the one below.
+
+    The rounds of two linked sets end by their own counts. In the earlier end's round one of them has
+    more filled groups than they differ in, and both have dealt; if neither ends, both take the last key."""
     n, out = len(s), []
     own = size_class(n, j)
     for c in {own, size_class(max(1, int(np.ceil(j * n - 1e-9))), j)}:
         top = int(np.ceil(j ** -(c + 1))) + 1  # above the sizes of class c, the smaller of a pair
-        d = int((1 - j) / (1 + j) * (top + top / j) + 1e-9) + 1
-        g = (mix(s + np.uint64(7)) % np.uint64(d)).astype(np.int64)
-        total = np.zeros(d, np.uint64)
-        np.add.at(total, g, mix(s))
-        count = np.bincount(g, minlength=d).astype(np.uint64)
-        keys = mix(mix(total + np.arange(d, dtype=np.uint64) * M1) + count + np.uint64(c * 1_000_003))
-        out.extend(keys[count > 0].astype(np.int64).tolist())
+        d, apart = n_groups(top, j), most_apart(min(n, top), j)
+        for r in range(ROUNDS):
+            g = (mix(s + np.uint64(7 + 1000 * r)) % np.uint64(d)).astype(np.int64)
+            total = np.zeros(d, np.uint64)
+            np.add.at(total, g, mix(s))
+            count = np.bincount(g, minlength=d).astype(np.uint64)
+            keys = mix(mix(total + np.arange(d, dtype=np.uint64) * M1) + count + np.uint64(c * 1_000_003 + r * 1_000_000_007))
+            out.extend(keys[count > 0].astype(np.int64).tolist())
+            if (count > 0).sum() > apart:
+                break
+        else:
+            out.append(int(mix(np.array([c], np.uint64) * M2 + np.uint64(5)).astype(np.int64)[0]))
     return out
 
 
