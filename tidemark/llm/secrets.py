@@ -89,19 +89,31 @@ def report(docs: DataFrame, owner: str = "source", repository: str = "_repositor
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """Documents with each value of a candidate replaced by a mark, all rows and columns kept."""
-    t = F.col("text")
-    for kind, rx, group, least in BASE + EXTRA:
-        if kind == "assign":
-            t = F.regexp_replace(t, ASSIGN[: ASSIGN.rindex("(")].replace("(?i:", "((?i:", 1) + ")[A-Za-z0-9+/_.=-]{6,}", "$1[SECRET]")
-        elif kind == "hex":
-            t = F.regexp_replace(t, r"(?<![0-9a-f])[0-9a-f]{24,}", "[SECRET]")
-        elif kind == "access":
-            t = F.regexp_replace(t, r"AKIA[A-Z0-9]{16,}", "[SECRET]")
-        else:
-            t = F.regexp_replace(t, rx, "[SECRET]")
-    return docs.select(*[(t.alias("text") if c == "text" else F.col(c)) for c in docs.columns])
+def redact(docs: DataFrame, owner: str = "source", repository: str = "_repository") -> DataFrame:
+    """Documents with each value that looks live replaced by a mark, all rows and columns kept.
+
+    Ownership is counted over all of docs; copied examples stay as they are, overlapping live values give one mark."""
+    d = docs.withColumn("_repository", F.concat_ws("/", "source", "lang")) if repository == "_repository" else docs
+    found = scan(d, carry=(owner, repository)).filter(F.size("found") > 0)
+    owned = ownership(found, owner, repository).filter("verdict = 'live'").select("hash")
+    used = found.select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform("found", lambda r: F.sha2(r["value"], 256)))).alias("hash"))
+    live = used.join(owned, "hash").groupBy("_id").agg(F.collect_set("hash").alias("_live"))
+    rows = scan(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), carry=("_row",)).join(live, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    marked = F.filter("found", lambda r: F.array_contains("_live", F.sha2(r["value"], 256)))
+    # a value ends where its match ends
+    values = F.array_sort(F.transform(marked, lambda r: F.struct((r["e"] - F.length(r["value"])).alias("s"), r["e"].alias("e"))))
+    t = F.col("_row.text")
+    kept = F.reduce(
+        values,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, r: F.struct(
+            F.greatest(a["at"], r["e"]).alias("at"),
+            F.when((r["s"] >= a["at"]), F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, r["s"] - a["at"]), F.lit("[SECRET]")))).otherwise(a["out"]).alias("out"),
+        ),
+        lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, F.length(t)))), ""),
+    )
+    text = F.when(F.col("_live").isNull(), t).otherwise(kept)
+    return rows.select(*[(text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c)) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
