@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import layers
+from tidemark.plans import layers, quality
 from tidemark.sources import retail
 
 #: Name -> (inputs, SELECT). One text for both engines where their SQL agrees.
@@ -50,6 +50,7 @@ mart("Q16", "select s.order_id from shipments s join sorders o on s.order_id = o
 mart("Q17", "select s.order_id from shipments s join sorders o on s.order_id = o.order_id where o.order_status not in ('shipped', 'delivered', 'returned')", "shipments", "sorders")
 mart("Q18", "select traffic_date from web_traffic where unique_visitors > sessions or sessions > page_views or bounce_rate < 0 or bounce_rate > 1 or avg_session_duration_sec < 0", "web_traffic")
 SHARED |= layers.QUERIES
+quality.register(SHARED)
 
 
 def queries():

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import marts, segments
+from tidemark.plans import marts, quality, segments
 
 
 def queries():
-    return marts.queries() | segments.queries()
+    return marts.queries() | segments.queries() | quality.queries()
 
 
 def oracle_sql():
-    return marts.oracle_sql() | segments.oracle_sql()
+    return marts.oracle_sql() | segments.oracle_sql() | quality.oracle_sql()
