@@ -1,16 +1,18 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Symbols are words. An item and a window of its length leak when their word edit distance is at most a fifth
-of the item's words. Windows that hold too few of the benchmark's rare words cannot leak and are passed over (each rare
-word that is missing costs an edit). The rest are embedded by random walks; REPEATS samples of BITS
-positions are looked up among the items' samples, and each hit is verified by the exact
-edit distance of the item to any stretch of the window's neighbourhood.
-
-At the largest allowed distance a sample agrees with probability of about 0.58^BITS, so REPEATS samples reach a
-recall above 0.95; at distance 0 it is 1. Items go in blocks of ITEM_BLOCK, each a pass over the texts.
-
-Null and empty texts and items match nothing; items of one word match equal words; repeated rows each
-give their rows.
+Symbols are words. In texts that hold LOOSE of an item's rare words together, a word of NEAR_LETTERS letters or
+more that is no word of the benchmark but one letter away from some counts as the first of these, so that changed letters
+do not hide a passage. An item and a window of its length leak when
+their edit distance is at most a fifth of the item's symbols. A window of the item's length and slack that holds too few
+of the item's rare words cannot leak and is passed over (each rare word that is missing costs an edit). The
+rest are embedded by random walks, WALKS independent ones; REPEATS samples of BITS positions are looked up among the items'
+samples, and each hit is verified by the exact edit distance of the item to any stretch of the window's neighbourhood.
+
+At distance 0 recall is 1; at the largest allowed distance it is measured in the tests. Items go in blocks of ITEM_BLOCK, each a
+pass over the texts; a block's items are in the driver and in every task.
+
+Null and empty texts and items match nothing; items of one word match equal words; repeated rows each give their rows, null
+ids too; of repeated items each id gives rows; empty tables give none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-RATE, BITS, WALKS, REPEATS, ITEM_BLOCK = 0.2, 4, 5, 40, 5000
+RATE, BITS, WALKS, REPEATS, ITEM_BLOCK = 0.2, 4, 10, 40, 5000
+NEAR_LETTERS, LOOSE = 5, 0.6
 
 
 def words(text: str | None) -> list[bytes]:
@@ -60,6 +63,21 @@ def nearest(items: np.ndarray, texts: np.ndarray, limit: int) -> tuple[np.ndarra
     return dist, end
 
 
+def shorter(word: bytes) -> set[bytes]:
+    """A word and its forms with one letter left out."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def one_apart(a: bytes, b: bytes) -> bool:
+    """Whether one letter inserted, left out or changed makes a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return len(b) - len(a) < 2 and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
         split = [(i, words(t)) for i, t in items]
@@ -67,6 +85,12 @@ class Index:
         df = Counter(x for _, w in split for x in set(w))
         limit = max(2, 0.03 * len(split))
         self.ids = {x: n for n, x in enumerate(sorted(df), 1)}
+        self.near: dict[bytes, int] = {}
+        for x, n in self.ids.items():
+            if len(x) >= NEAR_LETTERS - 1:
+                for form in shorter(x):
+                    self.near[form] = min(n, self.near.get(form, n))
+        self.spelled = [b""] + sorted(df)
         self.rare = np.zeros(len(self.ids) + 1, bool)
         for x, n in self.ids.items():
             self.rare[n] = df[x] <= limit
@@ -78,6 +102,7 @@ class Index:
         self.size = np.array([len(s) for _, s in flat], np.int64)
         self.slack = (RATE * self.size + 1e-9).astype(np.int64)
         self.need = np.array([int(self.rare[s].sum()) for _, s in flat], np.int64) - self.slack
+        self.every = sorted(set(self.size[self.need <= 0].tolist()))
         holds = sorted({(int(x), k) for k, (_, s) in enumerate(flat) for x in s if self.rare[x]})
         self.owner = np.array([k for _, k in holds], np.int64)
         self.start = np.searchsorted(np.array([x for x, _ in holds]), np.arange(len(self.ids) + 2))
@@ -93,46 +118,60 @@ class Index:
 
     def samples(self, x: np.ndarray, n: int) -> np.ndarray:
         """Hash of each repeat's sampled positions for each row of symbols."""
-        rows, out = np.arange(len(x)), np.zeros((len(x), REPEATS), np.int64)
-        padded = np.hstack([x, np.full((len(x), 1), -1)])
+        out = np.zeros((len(x), REPEATS), np.int64)
+        padded = np.hstack([x + 1, np.zeros((len(x), 1), np.int64)])
+        flat, origin = padded.ravel(), np.arange(len(x)) * (n + 1)
         for v in range(WALKS):
-            at, walked = np.zeros(len(x), np.int64), np.empty((len(x), 3 * n), np.int64)
-            for t in range(3 * n):
-                c = padded[rows, at]
-                walked[:, t] = c
-                at = np.minimum(at + np.where(c >= 0, (((c + 1) * self.walk[n][v, t]) >> 37) & 1, 0), n)
-            for r in range(v, REPEATS, WALKS):
-                h = np.zeros(len(x), np.int64)
+            own = range(v, REPEATS, WALKS)
+            wanted = {int(p) for r in own for p in self.pick[n][r]}
+            at, walked = origin.copy(), {}
+            for t in range(max(wanted) + 1):
+                c = flat.take(at)
+                if t in wanted:
+                    walked[t] = c
+                at += (c * self.walk[n][v, t] >> 37) & 1  # the end, 0, keeps its place
+            for r in own:
                 for p in self.pick[n][r]:
-                    h = h * 1_000_003 + walked[:, p] + 7
-                out[:, r] = h
+                    out[:, r] = out[:, r] * 1_000_003 + walked[int(p)] + 7
         return out
 
-    def windows(self, s: np.ndarray):
-        """Starts of windows, by length, that hold enough rare words of one item; items without enough rare words take every window."""
+    def near_word(self, word: bytes) -> int:
+        """The number of the first benchmark word that is a letter away, or 0."""
+        if len(word) < NEAR_LETTERS:
+            return 0
+        return min((n for n in map(self.near.get, shorter(word)) if n and one_apart(self.spelled[n], word)), default=0)
+
+    def symbols(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words, none where no item can be; words with changed letters are looked up where LOOSE of an item's rare words are together."""
+        split, get = words(text), self.ids.get
+        s = np.array([get(w, 0) for w in split], np.int64)
+        if not s.any() or not self.windows(s, LOOSE):
+            return s[:0]
+        for k in np.nonzero(s == 0)[0].tolist():
+            s[k] = self.near_word(split[k])
+        return s
+
+    def windows(self, s: np.ndarray, share: float = 1.0) -> dict[int, np.ndarray]:
+        """Starts of windows, by length, that hold enough rare words of one item; items without enough rare words take every window.
+
+        share: where it asks for fewer, this share of the item's rare words is enough."""
         at = np.nonzero(self.rare[s])[0]
         lo, hi = self.start[s[at]], self.start[s[at] + 1]
         n_own = hi - lo
         pos = np.repeat(at, n_own)
         which = self.owner[np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(lo, n_own)]
-        order = np.lexsort((pos, which))
-        pos, which = pos[order], which[order]
-        last = np.arange(len(pos)) + np.maximum(self.need[which], 1) - 1
-        ok = last < len(pos)
-        end = np.minimum(last, max(len(pos) - 1, 0))
-        ok &= (which[end] == which) & (pos[end] - pos < self.size[which] + 2 * self.slack[which]) if len(pos) else ok
-        every = set(self.size[self.need <= 0].tolist())
         found: dict[int, set[int]] = defaultdict(set)
-        for k in np.nonzero(ok)[0].tolist():
-            n, pad = int(self.size[which[k]]), int(self.slack[which[k]])
-            found[n].update(range(max(0, int(pos[end[k]]) - n - pad), int(pos[k]) + pad + 1))
-
-        def starts(n: int, count: int) -> np.ndarray:
-            if n in every:
-                return np.arange(count)
-            return np.array(sorted(x for x in found[n] if x < count) or ([0] if found[n] else []), np.int64)
-
-        return starts
+        if len(pos):
+            order = np.lexsort((pos, which))
+            pos, which = pos[order], which[order]
+            least = np.maximum(np.minimum(self.need, np.ceil(share * (self.need + self.slack)).astype(np.int64)), 1)[which]
+            end = np.minimum(np.arange(len(pos)) + least - 1, len(pos) - 1)
+            width = self.size[which] + self.slack[which]
+            ok = (which[end] == which) & (end - np.arange(len(pos)) == least - 1) & (pos[end] - pos < width)
+            for k in np.nonzero(ok)[0].tolist():
+                found[int(self.size[which[k]])].update(range(max(0, int(pos[end[k]] - width[k]) + 1), int(pos[k]) + 1))
+        out = {n: np.array(sorted(x for x in own if x <= len(s) - n) or [0], np.int64) for n, own in found.items()}
+        return out | {n: np.arange(max(1, len(s) - n + 1)) for n in self.every}
 
     def scan(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, distance, first word) of each item that leaks into a text."""
@@ -140,18 +179,13 @@ class Index:
 
     def scan_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """scan() of many texts; windows of one length are embedded together."""
-        get = self.ids.get
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         symbols: dict[int, np.ndarray] = {}
         todo: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for d, text in enumerate(texts):
-            s = np.array([get(w, 0) for w in words(text)], np.int64)
-            if not s.any():
-                continue
-            windows = self.windows(s)
-            for n in self.by_len:
-                at = windows(n, max(1, len(s) - n + 1))
-                if len(at):
+            s = self.symbols(text)
+            if len(s):
+                for n, at in self.windows(s).items():
                     symbols[d] = s
                     todo[n].append((d, at))
         for n, groups in todo.items():
@@ -190,19 +224,24 @@ class Index:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance and first word for each item that leaks into a document."""
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    whole = items.filter("text is not null and item_id is not null")
+    blocks = max(1, -(-whole.count() // ITEM_BLOCK))
+    kind, item_kind = (dict(df.dtypes)[c] for df, c in ((docs, "doc_id"), (items, "item_id")))
     src, out = docs.select("doc_id", "text"), None
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).filter("text is not null and item_id is not null").select("item_id", "text").collect()
+        rows = whole.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").collect()
         block = sorted((r[0], r[1]) for r in rows)
 
-        def each(frames, block=block):
+        def each(batches, block=block):
             index = Index(block)
-            for f in frames:
-                got = [(d, *x) for d, found in zip(f["doc_id"], index.scan_all(f["text"].tolist()), strict=True) for x in found]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "distance", "first_word"])
-
-        part = src.mapInPandas(each, "doc_id long, item_id long, distance long, first_word long")
+            for batch in batches:
+                for first in range(0, batch.num_rows, 500):
+                    part = batch.slice(first, 500)
+                    got = [(row, *x) for row, found in enumerate(index.scan_all(part.column(1).to_pylist())) for x in found]
+                    ids = part.column(0).take(pa.array([g[0] for g in got], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([g[1] for g in got]) if got else pa.array([], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())], names=["doc_id", "item_id", "distance", "first_word"])
+
+        part = src.mapInArrow(each, f"doc_id {kind}, item_id {item_kind}, distance long, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
