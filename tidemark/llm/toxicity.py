@@ -1,122 +1,115 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel counts common character subsequences of length three with gaps, each weighted
-by DECAY to its span, and is normalised. Strings are the words of a sentence, and runs of single characters
-joined; inserted characters only lengthen a gap. A sentence scores as its highest string and a
-document as its highest sentence, so documents are bags: training starts from the labels
-of the sentences' documents and keeps, round by round, the strings that carry a positive
-bag. Landmark weights fold into one table over subsequences, so a string costs a few
-dozen table reads and repeated strings none.
-
-Fitting takes a bounded sample of labelled rows (MAX_BAGS toxic and twice as many clean
-ones, by a hash of the id, of words WORD_ROWS at most); scoring covers all texts whole. Null and empty texts score near 0; repeated rows
-score alike; without labelled toxic rows every score is 0.
+The kernel counts common character subsequences of length three with gaps, each weighted by DECAY to its span, over the
+length of the strings. Strings are the words of a sentence, also without inner signs, and runs of three or more
+fragments of one or two characters joined; inserted characters only lengthen a gap. Strings over LONGEST characters count by
+their overlapping stretches, in fitting as in scoring. A sentence scores as its highest string and a document as its
+highest sentence, so documents are bags: training starts from the labels of the sentences' documents and keeps, round by
+round, the strings that carry a positive bag. Landmark weights fold into one table over subsequences, so a string costs
+a few dozen table reads.
+
+Fitting takes a bounded sample of labelled rows (MAX_BAGS toxic and twice as many clean ones, by a hash of the id) with all
+their strings; scoring covers all texts whole. Null and empty texts score near 0; repeated rows and ties score alike; an
+empty table gives no rows; without labelled toxic or clean rows every score is near 0; other columns, also ones
+named like results, are not read by the query. Kept columns go through untouched, the score under the name asked for.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DECAY, SPAN, SIGNS, LONGEST, LANDMARKS = 0.7, 6, 40, 24, 320
-MAX_BAGS, WORD_ROWS, REMEMBER, CHECK_BAGS = 1500, 60_000, 300_000, 600
+MAX_BAGS, REMEMBER, ROUNDS, CONTRAST = 700, 200_000, 5, 5.0
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 INNER = re.compile(r"[\W_]")
-RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s\S{1,2}){2,}(?!\S)")
+EDGE = ".,;:!?\"'()[]{}*#$%&|"
 
 
-def sign(c: str) -> int:
-    """Letters 1..26, digits 27, accented letters 28..38, other signs 39; 0 pads."""
-    o = ord(c)
-    return o - 96 if 97 <= o <= 122 else 27 if 48 <= o <= 57 else 39 if o < 128 else 28 + o % 11
+def sign(c: int) -> int:
+    """Letters 1..26, digits 27, accented letters 28..38, other signs 39."""
+    return c - 96 if 97 <= c <= 122 else 27 if 48 <= c <= 57 else 39 if c < 128 else 28 + c % 11
 
 
-SIGN = {c: sign(chr(c)) for c in range(0x250)}
+TABLE = np.array([sign(c) for c in range(0x250)] + [39], np.int32)
+NORM = [0.0] + [sum(max(0, n - b) * DECAY ** (2 * b + 2) for _, b in PAIRS) ** 0.5 for n in range(1, LONGEST + 1)]
 
 
-def strings(text: str) -> set[str]:
-    """The distinct strings of a text: its words, also without inner signs, and runs of single characters as one."""
-    low = text.lower()
-    out = {x.strip(".,;:!?\"'()[]{}*#$%&|") for x in low.split()}
-    for m in RUN.finditer(low):
-        out.add(re.sub(r"[\s\W_]", "", m.group()))
-    out |= {INNER.sub("", x) for x in out if not x.isalnum()}
-    out.discard("")
-    return out
+def tokens(text: str | None) -> set[str]:
+    """The distinct words of a text and its runs of fragments, as they stand."""
+    low = (text or "").lower()
+    return set(low.split()) | {m.group() for m in RUN.finditer(low)}
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(string index, subsequence code * spans weight) as two aligned arrays per string: codes and weights."""
-    n = len(words)
-    m = np.zeros((n, LONGEST + SPAN), np.int32)
-    for i, w in enumerate(words):
-        c = [SIGN.get(ord(x), 39) for x in w[:LONGEST]]
-        m[i, : len(c)] = c
-    out, weights = [], []
-    for a, b in PAIRS:
-        x, y, z = m[:, :LONGEST], m[:, a : a + LONGEST], m[:, b : b + LONGEST]
-        out.append(np.where((x > 0) & (y > 0) & (z > 0), (x * SIGNS + y) * SIGNS + z, 0))
-        weights.append(np.full(LONGEST, DECAY ** (b + 1), np.float32))
-    return np.concatenate(out, 1), np.concatenate(weights)
+def forms(token: str) -> list[str]:
+    """The strings of a token: without signs at its ends, and without any."""
+    plain = token.strip(EDGE)
+    if plain.isalnum():
+        return [plain]
+    return [x for x in {plain if len(plain.split()) < 2 else "", INNER.sub("", plain)} if x]
 
 
 def pieces(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def features(words: list[str]):
-    """Normalised sparse rows: codes sorted within a row, and values."""
-    c, w = codes(words)
-    order = np.argsort(c, axis=1, kind="stable")
-    s, v = np.take_along_axis(c, order, 1), w[order] * (np.take_along_axis(c, order, 1) > 0)
-    first = np.ones_like(s, bool)
-    first[:, 1:] = s[:, 1:] != s[:, :-1]
-    group = np.cumsum(first.ravel()) - 1
-    total = np.bincount(group, v.ravel())
-    val = np.where(first, total[group].reshape(s.shape), 0.0)
-    norm = np.sqrt((val**2).sum(1, keepdims=True))
-    return s, val / np.maximum(norm, 1e-9)
+def subsequences(words: list[str]):
+    """(rows, codes, weights) by length of the words: the codes of a row's subsequences and their normalised weights."""
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, rows in by_length.items():
+        if n < 3:
+            continue
+        for first in range(0, len(rows), 512):
+            part = rows[first : first + 512]
+            letters = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            m = TABLE[np.minimum(letters, len(TABLE) - 1)].reshape(len(part), n)
+            codes = [(m[:, : n - b] * SIGNS + m[:, a : n - b + a]) * SIGNS + m[:, b:] for a, b in PAIRS if b < n]
+            weights = [np.full(n - b, DECAY ** (b + 1) / NORM[n], np.float32) for _, b in PAIRS if b < n]
+            yield np.array(part), np.concatenate(codes, 1), np.concatenate(weights)
 
 
 class Scorer:
     """A fitted table over subsequences with its offset and calibration."""
 
     def __init__(self, table: np.ndarray, offset: float, slope: float, shift: float):
-        self.table, self.offset, self.slope, self.shift, self.known = table, offset, slope, shift, {}
+        self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
+        self.known: dict[str, float] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), np.float32)
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            split = [pieces(w) for w in part]
-            flat = [p for ps in split for p in ps]
-            c, v = features(flat)
-            f = (self.table[c] * v).sum(1) + self.offset
-            starts = np.cumsum([0] + [len(p) for p in split[:-1]])
-            out[i : i + len(part)] = np.maximum.reduceat(f, starts)
-        return out
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        bags = [strings(t or "") for t in texts]
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        new = list({w for b in bags for w in b if w not in known})
-        if new:
-            known.update(zip(new, self.words(new).tolist(), strict=True))
-        top = np.array([max(map(known.__getitem__, b), default=-2.0) for b in bags], float)
+        """The machine's value of each string, of long ones the highest of their stretches."""
+        split = [pieces(w) for w in words]
+        flat = [p for ps in split for p in ps]
+        f = np.full(len(flat), self.offset, np.float32)
+        for rows, codes, weights in subsequences(flat):
+            f[rows] += self.table[codes] @ weights
+        return np.maximum.reduceat(f, np.cumsum([0] + [len(p) for p in split[:-1]])) if words else f
+
+    def learn(self, new: list[str]) -> None:
+        for first in range(0, len(new), 4096):
+            part = new[first : first + 4096]
+            split = [forms(t) for t in part]
+            f = self.words([x for xs in split for x in xs]).tolist()
+            at = 0
+            for t, xs in zip(part, split, strict=True):
+                self.known[t] = max(f[at : at + len(xs)], default=-2.0)
+                at += len(xs)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        bags = [tokens(t) for t in texts]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        self.learn([t for t in set().union(*bags) if t not in self.known])
+        top = np.array([max(map(self.known.__getitem__, b), default=-2.0) for b in bags], float)
         return 1 / (1 + np.exp(-np.clip(self.slope * (top - self.shift), -30, 30)))
 
 
-def sentences(rows: DataFrame) -> DataFrame:
-    """Distinct strings of each labelled sentence's document: doc_id, toxic, w."""
-    w = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.regexp_replace(x, r"^[.,;:!?\"'()\[\]{}*#$%&|]+|[.,;:!?\"'()\[\]{}*#$%&|]+$", ""))))
-    return rows.select("doc_id", "toxic", w.alias("w")).filter("w != ''")
-
-
 def svm(blocks: list[np.ndarray], root: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 12, part: int = 4096):
     """Squared-hinge linear machine by Newton steps; returns weights, the last one the offset.
 
@@ -144,105 +137,100 @@ def svm(blocks: list[np.ndarray], root: np.ndarray, y: np.ndarray, weight: np.nd
     return w
 
 
+class Landmarks:
+    """Kernel values of strings with the landmarks, by one row over the landmarks for each subsequence that they hold."""
+
+    def __init__(self, marks: list[str]):
+        found = list(subsequences(marks))
+        codes = np.unique(np.concatenate([c.ravel() for _, c, _ in found]))
+        self.at = np.full(SIGNS**3, len(codes), np.int32)  # subsequences that no landmark holds share a last row of zeros
+        self.at[codes] = np.arange(len(codes))
+        self.dense = np.zeros((len(codes) + 1, len(marks)), np.float32)
+        for rows, c, w in found:
+            np.add.at(self.dense, (self.at[c], rows[:, None]), w)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.dense.shape[1]), np.float32)
+        for rows, codes, weights in subsequences(words):
+            for i in range(0, len(rows), 64):
+                out[rows[i : i + 64]] = np.einsum("f,nfm->nm", weights, self.dense[self.at[codes[i : i + 64]]])
+        return out
+
+    def table(self, v: np.ndarray) -> np.ndarray:
+        return (self.dense @ v.astype(np.float32))[self.at]
+
+
+def gapped(w: str) -> list[str]:
+    """Forms of an insult with characters put in."""
+    return [p for x in (*(w[:i] + ch + w[i:] for i, ch in ((len(w) // 2, "x"), (len(w) // 3 + 1, "1"), (2 * len(w) // 3, "-"))), "-".join(w)) for p in pieces(x)]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on labelled rows outside the held-out fifth."""
     lab = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").select("doc_id", "toxic").distinct()
     one = lambda t, n: lab.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = one(1, MAX_BAGS).unionByName(one(0, 2 * MAX_BAGS))
-    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = sentences(rows)
-    counts = seen.groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((1 - F.col("toxic")).cast("long")).alias("c")).persist()
-    clean = counts.filter("c > 0").orderBy(F.desc("c"), F.xxhash64("w")).limit(WORD_ROWS // 3).select("w", "c").toPandas()
-    only = counts.filter("t > 0 and c = 0").orderBy(F.desc("t"), F.xxhash64("w")).limit(WORD_ROWS).select("w", "t")
-    rare = counts.filter("t = 0").orderBy(F.xxhash64("w")).limit(WORD_ROWS // 3).select("w", "c").toPandas()
-    clean = pd.concat([clean, rare]).drop_duplicates("w", ignore_index=True)
-    some = sample.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CHECK_BAGS).select("doc_id")
-    held = seen.join(F.broadcast(some), "doc_id").select("doc_id", "w").orderBy(F.xxhash64("w")).limit(8 * WORD_ROWS).toPandas()
-    bags = seen.filter("toxic = 1").join(only, "w").groupBy("w").agg(F.first("t").alias("t"), F.collect_set("doc_id").alias("ids")).toPandas()
-    if bags.empty or clean.empty:
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").collect()
+    rows = sorted(tuple(r) for r in rows)
+    bags = [(toxic, sorted({p for t in tokens(text) for x in forms(t) for p in pieces(x)})) for toxic, text in rows]
+    return train([b for toxic, b in bags if toxic == 1], [b for toxic, b in bags if toxic == 0])
+
+
+def train(toxic: list[list[str]], clean: list[list[str]]) -> Scorer:
+    """The machine of toxic and clean bags of strings."""
+    t, c = (Counter(w for b in bags for w in b) for bags in (toxic, clean))
+    # candidates are strings that are far more frequent in toxic bags; a few mislabelled clean bags do not clear one
+    pos = sorted(w for w in t if len(w) > 2 and t[w] * len(clean) > CONTRAST * c[w] * len(toxic))
+    mine = set(pos)
+    neg = sorted(w for w in c if w not in mine)
+    if not pos or not neg:
         return Scorer(np.zeros(SIGNS**3, np.float32), -1.0, 1.0, 30.0)
-    pos = bags["w"].tolist()
-    neg = clean["w"].tolist()
-    n_bags = float(len({i for ids in bags["ids"] for i in ids}))
     rng = np.random.default_rng(7)
-    heavy = bags.sort_values(["t", "w"], ascending=[False, True])["w"].tolist()[: LANDMARKS // 2]
+    heavy = sorted(pos, key=lambda w: (-t[w], w))[: LANDMARKS // 2]
     marks = heavy + [neg[i] for i in rng.choice(len(neg), min(len(neg), LANDMARKS - len(heavy)), replace=False)]
-    marks = [m[:LONGEST] for m in marks]
-    mc, mv = features(marks)
-    used, row = np.unique(mc, return_inverse=True)  # the landmarks' subsequences; all others share a last row of zeros
-    row = row.reshape(mc.shape)
-    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
-    for j in range(len(marks)):
-        dense[row[j], j] += mv[j]
-    dense[:-1][used == 0] = 0
-    at = np.full(SIGNS**3, len(used), np.int32)
-    at[used] = np.arange(len(used))
-
-    def kernel(words):
-        out = np.empty((len(words), len(marks)), np.float32)
-        for i in range(0, len(words), 100):
-            c, v = features([w[:LONGEST] for w in words[i : i + 100]])
-            out[i : i + len(c)] = np.einsum("nf,nfm->nm", v.astype(np.float32), dense[at[c]])
-        return out
-
-    def by_part(x, v):
-        return np.concatenate([x[i : i + 4096] @ v for i in range(0, len(x), 4096)])
-
-    kmm = kernel(marks).astype(float)
-    val, vec = np.linalg.eigh(kmm + 1e-6 * np.eye(len(marks)))
+    marks = [m for m in marks if len(m) > 2]
+    land = Landmarks(marks)
+    val, vec = np.linalg.eigh(land.kernel(marks).astype(float) + 1e-6 * np.eye(len(marks)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-    bag_of: dict[int, list[int]] = {}
-    for i, ids in enumerate(bags["ids"]):
-        for d in ids:
-            bag_of.setdefault(d, []).append(i)
-    gapped = lambda w: [w[:i] + ch + w[i:] for i, ch in ((len(w) // 2, "x"), (len(w) // 3 + 1, "1"), (2 * len(w) // 3, "-"))] + ["-".join(w)]
-    kp, kn = kernel(pos), [kernel(neg)]
-    t = bags["t"].to_numpy(float)
-    chosen, wt = np.arange(len(pos)), (t / t.sum()) * n_bags
-    neg_weight, known_neg = np.minimum(clean["c"].to_numpy(float), 5.0), set(neg)
-    # as objects: an array of strings would give each row the room of the longest
-    inverse, vocabulary = pd.factorize(held.pop("w"), sort=True)
-    vocabulary = vocabulary.tolist()
-    for step in range(5):
-        extra = [g for i in chosen if step > 0 for g in gapped(pos[i])][:4000]
-        ke = kernel(extra) if extra else np.empty((0, len(marks)), np.float32)
-        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(sum(map(len, kn)))])
-        weights = np.concatenate([wt, np.full(len(extra), 0.2), neg_weight])
-        w = svm([kp[chosen], ke, *kn], root, y, weights)
-        f = by_part(kp, root @ w[:-1]) + w[-1]
-        best = {max(ix, key=lambda i: (f[i] + 0.15 * np.log1p(t[i]), -i)) for ix in bag_of.values()}
-        strong = {i for ix in bag_of.values() for i in ix if f[i] > 0.5 and t[i] > 1}
+    index = {w: i for i, w in enumerate(pos)}
+    held = [x for x in ([index[w] for w in b if w in index] for b in toxic) if x]
+    kp, kn = land.kernel(pos), land.kernel(neg)
+    count = np.array([t[w] for w in pos], float)
+    chosen, weight = np.arange(len(pos)), count / count.sum() * len(held)
+    neg_weight = np.minimum([float(c[w]) for w in neg], 5.0)
+    for step in range(ROUNDS):
+        extra = [g for i in chosen for g in gapped(pos[i])] if step else []
+        y = np.concatenate([np.ones(len(chosen) + len(extra)), -np.ones(len(neg))])
+        w = svm([kp[chosen], land.kernel(extra), kn], root, y, np.concatenate([weight, np.full(len(extra), 0.2), neg_weight]))
+        v, offset = root @ w[:-1], float(w[-1])
+        f = kp @ v + offset
+        best = {max(own, key=lambda i: (f[i] + 0.15 * np.log1p(count[i]), -i)) for own in held}
+        strong = {i for own in held for i in own if f[i] > 0.5 and count[i] > 1}
         chosen = np.array(sorted(best | strong))
-        wt = np.ones(len(chosen))
-        scorer = Scorer(by_part(dense, root @ w[:-1]).astype(np.float32)[at], float(w[-1]), 8.0, 0.0)
-        g = scorer.words(vocabulary)
-        if step < 4:  # clean strings on the wrong side join the negatives
-            hard = [v for v, x in zip(vocabulary, g, strict=True) if x > -0.6][:6000]
-            hard = [v for v in hard if v not in known_neg]
-            known_neg.update(hard)
-            if hard:
-                kn.append(kernel(hard))
-                neg_weight = np.concatenate([neg_weight, np.full(len(hard), 3.0)])
-    tops = np.array([max(f[i] for i in ix) for ix in bag_of.values()])
-    calm = pd.Series(g[inverse]).groupby(held["doc_id"].to_numpy()).max().to_numpy()
+        weight = np.ones(len(chosen))
+    scorer = Scorer(land.table(v), offset, 8.0, 0.0)
+    tops, calm = (np.array([scorer.words(b).max() if b else -2.0 for b in bags]) for bags in (toxic, clean))
     grid = np.linspace(-1, 1, 81)
     wrong = [(tops < x).mean() + 2 * (calm >= x).mean() for x in grid]
     scorer.shift = float(np.mean(grid[np.isclose(wrong, min(wrong))]))
     return scorer
 
 
-def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
-    """The kept columns with score of each text."""
-    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
+def score(docs: DataFrame, scorer: Scorer, keep: list[str], name: str = "score") -> DataFrame:
+    """The kept columns and the score of each text under a name."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored"))
     table, rest = scorer.table, (scorer.offset, scorer.slope, scorer.shift)
 
-    def each(frames):
+    def each(batches):
         own = Scorer(table, *rest)
-        for f in frames:
-            yield f[keep].assign(score=own.score(f["text"].tolist()))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c in keep)
-    return kept.mapInPandas(each, f"{schema}, score double")
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                found = pa.array(own.score(part.column(part.num_columns - 1).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*keep, name])
+
+    schema = "".join(f"`{c}` {t}, " for c, t in kept.dtypes[:-1])
+    return kept.mapInArrow(each, f"{schema}`{name}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
