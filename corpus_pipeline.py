@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, jaccard, pieces, secrets, toxicity, warc
+from tidemark.llm import decontaminate, jaccard, pieces, secrets, toxicity
+from tidemark.llm.storage import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return toxicity.score(docs, toxicity.fit(source, labels), docs.columns).filter("score < 0.5").drop("score")
+    name = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    return toxicity.score(docs, toxicity.fit(source, labels), docs.columns, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), warc.shared_folder(spark).replace("warc-", "pipeline-")
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")

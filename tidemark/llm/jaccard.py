@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.storage import saved
+
 DIMS, FANOUT, PART_ROWS, ROUNDS = 32, 32, 3000, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
@@ -151,14 +153,6 @@ def join_block(sets: list[np.ndarray], j: float) -> np.ndarray:
     return label
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "spark-checkpoints"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over edges (a, b).
 

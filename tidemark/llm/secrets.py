@@ -1,18 +1,20 @@
 """Secret scan with corpus-wide ownership counts.
 
-Candidates are found by three base patterns and by provider key patterns. Their hashes
-are counted over distinct repositories (source, lang) and owners (source): a value that
-many owners hold is a copied example, one that a single owner holds looks live.
+Candidates are found by three base patterns and by provider key patterns, in one pass over the texts whose result is
+kept in the shared folder. Their hashes are counted over distinct repositories (source, lang) and owners (source): a value
+that many owners hold is a copied example, one that fewer hold looks live.
 
-Spans are code points, end exclusive. Null texts count as empty; repeated rows each give
-a row; other columns are not read. All work is Spark SQL; hot values are counted by
-partial aggregation.
+Spans are code points, end exclusive. Null texts count as empty; repeated rows each give a row with the counts of that
+row, also where ids are null; an empty table gives none; other columns are not read, whatever their names. All work
+is Spark SQL; hot values are counted by partial aggregation, first by owner and repository.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.storage import saved
+
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, group that holds the value, least characters of it; base kinds first, in order.
 BASE = [("assign", ASSIGN, 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
@@ -62,12 +64,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     return d.select(id_col, *carry, F.array_sort(F.concat(*[f"_f{n}" for n in range(len(kinds))])).alias("found"))
 
 
-def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """Per candidate hash: distinct repositories and owners, and whether it looks live."""
-    one = found.select(F.explode(F.array_distinct(F.transform("found", lambda r: F.sha2(r["value"], 256)))).alias("hash"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
+def hashes(found: DataFrame, *carry) -> DataFrame:
+    """One row for each document and distinct candidate: the carried columns and the candidate's hash."""
+    own = F.array_distinct(F.transform("found", lambda r: F.sha2(r["value"], 256)))
+    return found.filter(F.size("found") > 0).select(*carry, F.explode(own).alias("hash"))
+
+
+def ownership(one: DataFrame, owner: str, repository: str) -> DataFrame:
+    """Per candidate hash of hashes(): distinct repositories and owners, and whether it looks live."""
+    one = one.select("hash", F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
     each = one.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     per_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
-    return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n_docs")).withColumn("verdict", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").otherwise("live"))
+    counts = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n_docs"))
+    return counts.withColumn("verdict", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").otherwise("live"))
 
 
 def spans(found, only=None):
@@ -78,12 +87,13 @@ def spans(found, only=None):
 def report(docs: DataFrame, owner: str = "source", repository: str = "_repository") -> DataFrame:
     """Digest columns of the scan, with the number of live-looking values of each document."""
     d = docs.withColumn("_repository", F.concat_ws("/", "source", "lang")) if repository == "_repository" else docs
-    found = scan(d, carry=(owner, repository))
-    owned = ownership(found.filter(F.size("found") > 0), owner, repository).select("hash", "verdict")
-    used = found.filter(F.size("found") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("found", lambda r: F.sha2(r["value"], 256)))).alias("hash"))
-    live = used.join(owned.filter("verdict = 'live'"), "hash").groupBy("doc_id").agg(F.count("*").alias("n_live"))
+    # rows are numbered as they are stored, as ids may repeat
+    found = saved(scan(d, carry=(owner, repository))).withColumn("_n", F.monotonically_increasing_id())
+    used = hashes(found, "_n", owner, repository)
+    owned = ownership(used, owner, repository).filter("verdict = 'live'").select("hash")
+    live = used.join(owned, "hash").groupBy("_n").agg(F.count("*").alias("n_live"))
     n = lambda kind: F.size(F.filter("found", lambda r: r["kind"] == kind)).cast("long")
-    return found.join(live, "doc_id", "left").select(
+    return found.join(live, "_n", "left").select(
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(spans(F.col("found"), lambda r: r["o"] < len(BASE)), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
     )
@@ -94,9 +104,8 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "_repositor
 
     Ownership is counted over all of docs; copied examples stay as they are, overlapping live values give one mark."""
     d = docs.withColumn("_repository", F.concat_ws("/", "source", "lang")) if repository == "_repository" else docs
-    found = scan(d, carry=(owner, repository)).filter(F.size("found") > 0)
-    owned = ownership(found, owner, repository).filter("verdict = 'live'").select("hash")
-    used = found.select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform("found", lambda r: F.sha2(r["value"], 256)))).alias("hash"))
+    used = saved(hashes(scan(d, carry=(owner, repository)), F.col("doc_id").alias("_id"), owner, repository))
+    owned = ownership(used, owner, repository).filter("verdict = 'live'").select("hash")
     live = used.join(owned, "hash").groupBy("_id").agg(F.collect_set("hash").alias("_live"))
     rows = scan(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), carry=("_row",)).join(live, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     marked = F.filter("found", lambda r: F.array_contains("_live", F.sha2(r["value"], 256)))

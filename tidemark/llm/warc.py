@@ -14,17 +14,14 @@ from __future__ import annotations
 
 import bisect
 import re
-import uuid
 import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MIN_REVISIT, FILE_RECORDS, BLOCK_ROWS, SEP = 100, 2000, 1000, "\r\n\r\n"
-
+from tidemark.llm.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', 'spark-checkpoints').rstrip('/')}/warc-{uuid.uuid4().hex}"
+MIN_REVISIT, FILE_RECORDS, BLOCK_ROWS, SEP = 100, 2000, 1000, "\r\n\r\n"
 
 
 def url_key(url):
@@ -140,7 +137,7 @@ def lookup(block: bytes, key: str) -> list[tuple[int, str, int, int]]:
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the archives and their index, then read the archives back."""
     spark = pages.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or shared_folder(spark, "warc")
     write(pages, f"{folder}/archives")
     found = read(spark, f"{folder}/archives")
     index(found).write.parquet(f"{folder}/index")
