@@ -105,11 +105,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(got) == 6 and all(r.sound for r in got.values())
     assert got[3].record_type == "revisit" and got[3].refers_to == 1 and got[5].record_type == "response"
     assert got[6].payload_digest == hashlib.sha256(rows[5][2].encode()).hexdigest()
-    blocks = spark.read.parquet(tmp_path.as_uri() + "/index").collect()
-    directory = warc.Directory([(b.first_key, b.last_key) for b in blocks])
-    key = "b,a)/c"
-    hits = [h for b in blocks if (b.first_key, b.last_key) in directory.blocks(key) for h in warc.lookup(bytes(b.block), key)]
-    assert sorted(h[0] for h in hits) == [3, 6]
+    blocks = {b.block_id: bytes(b.block) for b in spark.read.parquet(tmp_path.as_uri() + "/index").collect()}
+    directory = warc.Directory.load(tmp_path.as_uri() + "/directory")
+    hits = [h for b in directory.blocks("b,a)/c") for h in warc.search(blocks[b], "b,a)/c")]
+    assert len(hits) == 2 and directory.blocks("zz,none)/") == []
+
+
+def test_warc_without_or_with_repeated_ids(spark, tmp_path):
+    big = "y" * 150
+    rows = [(None, "http://a.b/", big), (5, "http://a.b/", big), (5, "http://a.b/", big), (7, "u\tv", big), (None, None, None), (8, None, "z" * 120), (None, "q", "n" * 101), (None, "q", "n" * 101)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.archive(df, tmp_path.as_uri()).collect())
+    assert got == [(0, "response", 0)] * 3 + [(0, "revisit", 5), (5, "response", 0), (5, "revisit", 5), (7, "revisit", 5), (8, "response", 0)]
+    empty = tmp_path.as_uri() + "-empty"
+    assert warc.archive(df.limit(0), empty).collect() == []
 
 
 def test_licences():
