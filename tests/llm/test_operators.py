@@ -136,3 +136,18 @@ def test_toxicity_learns_gapped_words(spark):
     m = toxicity.fit(d, lab)
     s = m.score(["ante grumblor", "g-r-u-m-b-l-o-r", "grumxblor", "ante tone", "", None])
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
+
+
+def test_html_paths_decide_without_an_article():
+    more = "Long text, with words. " * 20
+    page = f"<body><div><h1>Head</h1><p>{more}<ul><li>one</li></ul><p>{more}</div><div><a href=x>all linked</a></div><article class='comment-body'><p>I like, it. {more}</article></body>"
+    assert html.extract(page) == "\n\n".join(["Head", more.strip(), "one", more.strip()])
+    assert html.extract("<div><b>x" * 4000).count("x") == 4000  # unclosed marks, in time in proportion
+
+
+def test_html_on_spark(spark):
+    rows = [(None, "u", "<p>a, b."), (2, None, None), (2, None, ""), (9007199254740993, "x", "<script>1</script>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html.extract_pages(df).collect())
+    assert got == [(0, "u", "a, b.", 5), (2, None, "", 0), (2, None, "", 0), (9007199254740993, "x", "", 0)]
+    assert html.extract_pages(df.limit(0)).collect() == []

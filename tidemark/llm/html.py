@@ -1,22 +1,25 @@
 """Main-text extraction by tag-path ratios.
 
-A page's text blocks carry the path of tags from the root. Per path the length of text,
-of linked text and the punctuation are summed; the ratios are smoothed with the paths of
-neighbouring blocks, fused into one weight and thresholded, which selects the content paths. Containers
-that hold navigation, notices, adverts, forms or comments by their tag, role or class
-are left out beforehand.
-
-Null html counts as empty; a page without content gives an empty text; every page gives one
-row; whole pages are read.
+A page's text blocks carry the path of tags from the root. Per path the length of text, of linked text and the punctuation
+are summed; the ratios are smoothed with the paths of neighbouring blocks and fused into one weight. The weights
+decide on every page: they give the region, the deepest container path that holds REGION of the page's weight, and the
+threshold over which a path counts as content wherever it stands; within the region short unlinked paths (headings, list
+items) are content as well. An article or main element is one feature: where a page has one, paths outside of it count
+OUTSIDE of their weight. Elements that hold navigation, notices, adverts, forms or comments by their tag, role or class are
+left out beforehand.
+
+Null html counts as empty; a page without content gives an empty text; every page gives one row, repeated rows and null ids
+too; an empty table gives none; other columns are not read. Whole pages are read, in time in proportion to their length,
+however deep their elements nest.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,25 +28,42 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|widget|login|signup|skip|pagination|pager|toolbar|copyright|legal|disclaimer)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES_P = BLOCK
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])")
+REGION, OUTSIDE, SHARE = 0.75, 0.25, 0.15
+CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
 SPACE = re.compile(r"\s+")
 PUNCT = re.compile(r"[.,;:!?]")
 
 
 class Blocks(HTMLParser):
-    """Collects (path, text, linked characters, in_article) for each block of a page."""
+    """Collects (path, text, linked characters) for each block of a page; paths are numbers in a tree of tags."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.out, self.buf, self.linked = [], [], [], 0
+        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it is left out, path
+        self.open: Counter[str] = Counter()
+        self.out, self.buf, self.linked = [], [], 0
+        self.tags, self.parents, self.inside, self.children = [""], [0], [False], {}
 
     def skipping(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
+    def path(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
+    def below(self, path: int, tag: str) -> int:
+        got = self.children.get((path, tag))
+        if got is None:
+            got = self.children[path, tag] = len(self.tags)
+            self.tags.append(tag)
+            self.parents.append(path)
+            self.inside.append(self.inside[path] or tag in ("article", "main"))
+        return got
+
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.buf)).strip()
         if text:
-            tags = [t for t, _ in self.stack if t in BLOCK]
-            self.out.append(("/".join(tags), text, self.linked, "article" in tags or "main" in tags))
+            self.out.append((self.path(), text, self.linked))
         self.buf, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -58,20 +78,28 @@ class Blocks(HTMLParser):
             if tag in ("li", "dd", "dt", "td", "th", "tr"):
                 self.pop(tag, {"ul", "ol", "dl", "table"})
         a = {k: (v or "") for k, v in attrs}
+        named = f"{a.get('class', '')} {a.get('id', '')}".lower()
         skip = tag in SKIP or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES
-        skip = skip or bool(NOISE.search(f"{a.get('class', '')} {a.get('id', '')}".lower())) and tag not in ("body", "html", "article", "main")
-        skip = skip or tag == "header" and not any(t in ("article", "main") for t, _ in self.stack)
+        skip = skip or bool((READERS if tag in ("article", "main") else NOISE).search(named)) and tag not in ("body", "html")
+        skip = skip or tag == "header" and not self.inside[self.path()]
         skip = skip or "display:none" in a.get("style", "").replace(" ", "").lower()
-        self.stack.append((tag, skip or self.skipping()))
+        path = self.path()
+        self.stack.append((tag, skip or self.skipping(), self.below(path, tag) if tag in BLOCK else path))
+        self.open[tag] += 1
+
+    def cut(self, i: int) -> None:
+        self.open.subtract(t for t, _, _ in self.stack[i:])
+        del self.stack[i:]
 
     def pop(self, tag, until) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in until:
-                return
+        if self.open[tag] > 0:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    self.flush()
+                    return self.cut(i)
+                if self.stack[i][0] in until:
+                    return None
+        return None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -81,55 +109,74 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open[tag] > 0:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    return self.cut(i)
+        return None
 
     def handle_data(self, data):
         if not self.skipping():
             self.buf.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if self.open["a"] > 0:
                 self.linked += len(data.strip())
 
 
-def extract(html: str | None, window: int = 1, share: float = 0.15) -> str:
-    """The content blocks of one page, joined by two line feeds."""
-    p = Blocks()
-    p.feed(html or "")
-    p.close()
-    p.flush()
-    blocks = p.out
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
-    if not blocks:
-        return ""
+def content_paths(page: Blocks, window: int = 1) -> set[int]:
+    """The paths that hold the page's content."""
+    blocks = page.out
     size, linked, marks, count = (defaultdict(float) for _ in range(4))
-    for path, text, link, _ in blocks:
+    for path, text, link in blocks:
         size[path] += len(text)
         linked[path] += min(link, len(text))
         marks[path] += len(PUNCT.findall(text))
         count[path] += 1
     fused = {x: (size[x] - linked[x]) / count[x] * (1 + marks[x] / count[x]) for x in size}
     raw = [fused[b[0]] for b in blocks]
-    smooth = [sum(raw[max(0, i - window) : i + window + 1]) / len(raw[max(0, i - window) : i + window + 1]) for i in range(len(raw))]
-    weight: dict[str, list[float]] = defaultdict(list)
-    for b, s in zip(blocks, smooth, strict=True):
-        weight[b[0]].append(s)
-    level = {x: max(fused[x], sum(v) / len(v)) for x, v in weight.items()}
-    top = max(level.values())
-    inside = any(b[3] for b in blocks)
-    keep = {x for x in level if level[x] >= share * top or inside and linked[x] <= 0.5 * size[x]}
-    return "\n\n".join(b[1] for b in blocks if b[0] in keep)
+    near: dict[int, list[float]] = defaultdict(list)
+    for i, b in enumerate(blocks):
+        own = raw[max(0, i - window) : i + window + 1]
+        near[b[0]].append(sum(own) / len(own))
+    parted = any(page.inside[x] for x in size)
+    level = {x: max(fused[x], sum(v) / len(v)) * (OUTSIDE if parted and not page.inside[x] else 1.0) for x, v in near.items()}
+    mass = [0.0] * len(page.tags)
+    for x in size:
+        mass[x] = level[x] * (size[x] - linked[x])
+    under: dict[int, list[int]] = defaultdict(list)
+    for x in range(len(page.tags) - 1, 0, -1):  # a path comes after its parent
+        mass[page.parents[x]] += mass[x]
+        under[page.parents[x]].append(x)
+    region = 0
+    while heavy := [x for x in under[region] if page.tags[x] in CONTAINERS and mass[x] >= REGION * mass[0] > 0]:
+        region = heavy[0]
+    within = [False] * len(page.tags)
+    for x in range(len(page.tags)):
+        within[x] = x == region or x > 0 and within[page.parents[x]]
+    top = max(level.values(), default=0.0)
+    plain = {x: linked[x] <= 0.5 * size[x] for x in size}
+    return {x for x in level if level[x] >= SHARE * top > 0 and (plain[x] or page.inside[x]) or within[x] and plain[x]}
+
+
+def extract(html: str | None) -> str:
+    """The content blocks of one page, joined by two line feeds."""
+    p = Blocks()
+    p.feed(html or "")
+    p.close()
+    p.flush()
+    keep = content_paths(p)
+    return "\n\n".join(text for path, text, _ in p.out if path in keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    def each(frames):
-        for f in frames:
-            yield pd.DataFrame({id_col: f[id_col], "url": f["url"], "text": [extract(h) for h in f["html"]]})
+    """The id, url, text and its length of each page."""
+
+    def each(batches):
+        for b in batches:
+            text = pa.array([extract(h) for h in b.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], names=[id_col, "url", "text"])
 
     kind = dict(pages.dtypes)[id_col]
-    out = pages.select(id_col, "url", "html").mapInPandas(each, f"{id_col} {kind}, url string, text string")
+    out = pages.select(id_col, "url", "html").mapInArrow(each, f"`{id_col}` {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
