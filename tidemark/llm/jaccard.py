@@ -1,30 +1,37 @@
 """N-gram Jaccard join by count vectors in R-trees.
 
-A document is its set of distinct word shingles. Hashing deals a set's shingles into groups. Two sets with
-Jaccard J differ in at most (1-J)/J of the smaller size, so a set with more filled groups than
-that has one that is filled and alike in both: a group's content is the cell key. A set that has
-fewer filled groups is dealt again by another hash, and after ROUNDS such deals takes one key
-that all such sets share, so the equality join is without loss. Documents that share cells, directly or through others, form a block of work;
-within it the group counts are points of an R-tree, a node's corners bound the overlap by
-summed coordinate minima, and surviving pairs are verified on their shingles. Links that
-would join what is joined already are not verified again.
-
-Equal sets collapse before any pair is formed. Null and empty texts have empty sets and link
-with nothing; texts with fewer words than a shingle are one shingle; repeated rows link.
-Large blocks are cut into parts, and each pair of parts is its own group.
+A document is its set of distinct word shingles. Sets are compared by classes of sizes: linked sizes are in one class, or in
+neighbouring ones, and a set takes part in its own class and the one below. In a class, hashing deals a set's shingles into
+groups. Two sets with Jaccard j differ in at most (1-j)/j of the smaller size, so of more groups than that one is alike in
+both; a group's content is a cell key. Only a set's fullest groups are keys, those of the largest least count that more of its
+groups reach than two linked sets can differ in: of two linked sets the one with the higher least count has an untouched
+group among its keys, which is a key of the other as well. A set with fewer filled groups than that is dealt again by another
+hash, and after ROUNDS such deals takes one key that all such sets share, so the equality join is without loss.
+
+Sets that share cells of a class, directly or through others, form a block of work. In it, cell by cell, the shingles' counts
+in DIMS hashed groups are points of an R-tree over the cell's sets, a node's corners bound the overlap by summed
+coordinate minima, and surviving pairs are verified on their shingles. Links that would join what is joined already are
+not verified again.
+
+Equal sets collapse before any pair is formed. Null and empty texts have empty sets and link with nothing, not even with one
+another; texts with fewer words than a shingle are one shingle; repeated rows link, rows of one id with unlike texts are rows of
+their own with that id; null ids stay null, and such a row links only where a row with an id has an equal set; an empty table
+gives none; other columns are not read. Large blocks are cut into parts, and each pair of parts is its own group.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.storage import saved
 
-DIMS, FANOUT, PART_ROWS, ROUNDS = 32, 32, 3000, 16
+DIMS, FANOUT, PART_ROWS, ROUNDS = 64, 32, 3000, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
 
@@ -88,68 +95,102 @@ def most_apart(n: float, j: float) -> int:
 
 @lru_cache(maxsize=4096)
 def n_groups(top: int, j: float) -> int:
-    """Groups for sets of up to top shingles: so many that mostly more are filled than two linked sets can differ in."""
-    d = need = most_apart(top, j) + 1
-    while d < 2 * top:
-        empty = d * (1 - 1 / d) ** top
-        if d - empty - empty**0.5 >= need - 0.5:
-            break
-        d += max(1, d // 100)
-    return d
-
-
-def cells(s: np.ndarray, j: float) -> list[int]:
-    """Cell keys of a set: content hashes of its filled groups, for its own class and the one below.
-
-    The rounds of two linked sets end by their own counts. In the earlier end's round one of them has
-    more filled groups than they differ in, and both have dealt; if neither ends, both take the last key."""
-    n, out = len(s), []
-    own = size_class(n, j)
-    for c in {own, size_class(max(1, int(np.ceil(j * n - 1e-9))), j)}:
-        top = int(np.ceil(j ** -(c + 1))) + 1  # above the sizes of class c, the smaller of a pair
-        d, apart = n_groups(top, j), most_apart(min(n, top), j)
-        for r in range(ROUNDS):
-            g = (mix(s + np.uint64(7 + 1000 * r)) % np.uint64(d)).astype(np.int64)
-            total = np.zeros(d, np.uint64)
-            np.add.at(total, g, mix(s))
-            count = np.bincount(g, minlength=d).astype(np.uint64)
-            keys = mix(mix(total + np.arange(d, dtype=np.uint64) * M1) + count + np.uint64(c * 1_000_003 + r * 1_000_000_007))
-            out.extend(keys[count > 0].astype(np.int64).tolist())
-            if (count > 0).sum() > apart:
+    """Groups for sets of up to top shingles: so many that the groups beyond those in which linked sets can differ are as full as can be."""
+    need = most_apart(top, j) + 1
+    best, d = (0, 0, need), need
+    while d <= max(need, top):
+        mean, reached, term, g = top / d, d * (1 - exp(-top / d)), exp(-top / d), 1
+        found = None
+        while reached >= need + 0.5 * reached**0.5 * (reached < d - 1e-6) or g == 1 and d == need:
+            found = (g, -d, d)
+            term *= mean / g
+            reached -= d * term
+            g += 1
+            if reached < 0.5:
                 break
-        else:
-            out.append(int(mix(np.array([c], np.uint64) * M2 + np.uint64(5)).astype(np.int64)[0]))
-    return out
+        if found and found > best:
+            best = found
+        d += max(1, d // 50)
+    return best[2]
+
+
+def class_cells(s: np.ndarray, j: float, c: int) -> np.ndarray:
+    """Cell keys of a set in a class: content hashes of its fullest groups.
+
+    The rounds of two linked sets end by their own counts. In the earlier end's round both have dealt, and the one that
+    goes on takes all its filled groups; if neither ends, both take the last key."""
+    top = int(np.ceil(j ** -(c + 1))) + 1  # above the sizes of class c, the smaller of a pair
+    d, apart, out = n_groups(top, j), most_apart(min(len(s), top), j), []
+    mixed = mix(s)
+    for r in range(ROUNDS):
+        g = (mix(s + np.uint64(7 + 1000 * r)) % np.uint64(d)).astype(np.int64)
+        total = np.zeros(d, np.uint64)
+        np.add.at(total, g, mixed)
+        count = np.bincount(g, minlength=d)
+        enough = (count > 0).sum() > apart
+        low = max(1, int(np.partition(count, d - apart - 1)[d - apart - 1])) if enough else 1
+        on = np.nonzero(count >= low)[0]
+        out.append(mix(mix(total[on] + on.astype(np.uint64) * M1) + count[on].astype(np.uint64) + np.uint64(c * 1_000_003 + r * 1_000_000_007)))
+        if enough:
+            break
+    else:
+        out.append(mix(np.array([c], np.uint64) * M2 + np.uint64(5)))
+    return np.concatenate(out).astype(np.int64)
+
+
+def classes(n: int, j: float) -> list[int]:
+    """The classes that a set of n shingles takes part in: its own, and that of the smallest sets that it links with."""
+    return sorted({size_class(n, j), size_class(max(1, int(np.ceil(j * n - 1e-9))), j)})
+
+
+def cells(s: np.ndarray, j: float) -> np.ndarray:
+    return np.concatenate([class_cells(s, j, c) for c in classes(len(s), j)])
+
+
+def vertex(node: int, c: int) -> int:
+    """A set as a member of a class."""
+    return int(mix(np.array([(node + (c + 1) * int(M2)) & 0xFFFFFFFFFFFFFFFF], np.uint64)).astype(np.int64)[0])
 
 
 def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.int32)
 
 
-def join_block(sets: list[np.ndarray], j: float) -> np.ndarray:
-    """Component index of each set: R-tree search by each set in turn, among sets not yet joined to it."""
+def join_block(sets: list[np.ndarray], j: float, c: int) -> np.ndarray:
+    """Component index of each set: in each cell of the class an R-tree search by each set in turn, among sets not yet joined to it."""
     n = len(sets)
     label = np.arange(n)
     size = np.array([len(s) for s in sets])
     point = np.stack([counts(s) for s in sets])
-    order = np.lexsort((point[:, 1], point[:, 0], size))
-    nodes = [order[i : i + FANOUT] for i in range(0, n, FANOUT)]
-    corner = np.stack([point[x].max(0) for x in nodes])
-    least, most = np.array([size[x].min() for x in nodes]), np.array([size[x].max() for x in nodes])
-    at = np.empty(n, int)
-    at[order] = np.arange(n) // FANOUT
-    for k, p in enumerate(order):
-        ok = (least <= size[p] / j) & (most >= size[p] * j) & (np.arange(len(nodes)) >= at[p])
-        ok[ok] = np.minimum(corner[ok], point[p]).sum(1) * (1 + j) >= j * (size[p] + least[ok]) - 1e-6
-        rows = np.concatenate([nodes[i] for i in np.nonzero(ok)[0]]) if ok.any() else np.empty(0, int)
-        rows = rows[label[rows] != label[p]]
-        rows = rows[np.minimum(point[rows], point[p]).sum(1) * (1 + j) >= j * (size[p] + size[rows]) - 1e-6]
-        for r in rows:
-            if label[r] != label[p]:
-                both = len(np.intersect1d(sets[p], sets[r], assume_unique=True))
-                if 100 * both >= round(100 * j) * (size[p] + size[r] - both):
-                    a, b = sorted((label[p], label[r]))
-                    label[label == b] = a
+    keys = [class_cells(s, j, c) for s in sets]
+    cell, member = np.concatenate(keys), np.repeat(np.arange(n), [len(k) for k in keys])
+    order = np.lexsort((size[member], cell))
+    cell, member = cell[order], member[order]
+    refused: set[tuple[int, int]] = set()
+
+    def one_cell(order: np.ndarray) -> None:
+        nodes = [order[i : i + FANOUT] for i in range(0, len(order), FANOUT)]
+        corner = np.stack([point[x].max(0) for x in nodes])
+        smallest, largest = size[[x[0] for x in nodes]], size[[x[-1] for x in nodes]]
+        for k, p in enumerate(order.tolist()):
+            ok = (smallest <= size[p] / j) & (largest >= size[p] * j) & (np.arange(len(nodes)) >= k // FANOUT)
+            ok[ok] = np.minimum(corner[ok], point[p]).sum(1) * (1 + j) >= j * (size[p] + smallest[ok]) - 1e-6
+            rows = np.concatenate([nodes[i] for i in np.nonzero(ok)[0]]) if ok.any() else order[:0]
+            rows = rows[label[rows] != label[p]]
+            rows = rows[np.minimum(point[rows], point[p]).sum(1) * (1 + j) >= j * (size[p] + size[rows]) - 1e-6]
+            for r in rows.tolist():
+                pair = (p, r) if p < r else (r, p)
+                if label[r] != label[p] and pair not in refused:
+                    both = len(np.intersect1d(sets[p], sets[r], assume_unique=True))
+                    if 100 * both >= round(100 * j) * (size[p] + size[r] - both):
+                        a, b = sorted((label[p], label[r]))
+                        label[label == b] = a
+                    else:
+                        refused.add(pair)
+
+    for own in np.split(member, np.nonzero(np.diff(cell))[0] + 1):
+        if len(own) > 1 and (label[own] != label[own[0]]).any():
+            one_cell(own)
     return label
 
 
@@ -195,7 +236,7 @@ def forest(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def shared_cells(src: DataFrame, n: int, j: float) -> DataFrame:
-    """Edges (a, b) between set digests that join the sets which share a cell, directly or through others.
+    """Edges (a, b) that join the members of a class which share a cell, directly or through others.
 
     Each batch of documents joins its own first and then holds a cell once, so a cell that
     many documents hold is small before the shuffle. Cells travel packed, by buckets of
@@ -210,10 +251,11 @@ def shared_cells(src: DataFrame, n: int, j: float) -> DataFrame:
                 s = shingles(t, n)
                 if len(s):
                     own.setdefault(digest(s), s)
-            keys = [np.array(cells(s, j), np.int64) for s in own.values()]
-            if not keys:
+            part = [(vertex(d, c), class_cells(s, j, c)) for d, s in own.items() for c in classes(len(s), j)]
+            if not part:
                 continue
-            node = np.repeat(np.array(list(own), np.int64), [len(k) for k in keys])
+            keys = [k for _, k in part]
+            node = np.repeat(np.array([v for v, _ in part], np.int64), [len(k) for k in keys])
             cell = np.concatenate(keys)
             ids, root, first = forest(cell, node)
             up = root[np.searchsorted(ids, node[first])]
@@ -243,37 +285,44 @@ def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc
     """doc_id, n_shingles and component_id of each document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def profile(frames):
-        for f in frames:
-            own = [shingles(t, n) for t in f["text"]]
-            yield pd.DataFrame({
-                "doc_id": f["doc_id"],
-                "n_shingles": [len(s) for s in own],
-                "digest": [digest(s) for s in own],
-                "digest2": [int(mix(s * M1 + np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in own],
-            })
+    def profile(batches):
+        for b in batches:
+            own = [shingles(t, n) for t in b.column(1).to_pylist()]
+            columns = [[len(s) for s in own], [digest(s) for s in own], [int(mix(s * M1 + np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in own]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_shingles", "digest", "digest2"])
+
+    def members(batches):
+        for b in batches:
+            rows = [(vertex(d, c), c, d, rep) for rep, d, size in zip(*(x.to_pylist() for x in b.columns), strict=True) for c in classes(size, j)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], names=["node", "class", "digest", "rep"])
 
-    prof = saved(src.mapInPandas(profile, "doc_id long, n_shingles long, digest long, digest2 long"))
-    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep")))
+    prof = saved(src.mapInArrow(profile, "doc_id long, n_shingles long, digest long, digest2 long"))
+    reps = saved(prof.filter("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")))
     blocks = components(shared_cells(src, n, j))
-    work = blocks.join(reps, F.col("node") == F.col("digest")).select(F.col("component").alias("block"), "rep")
-    work = work.join(src, F.col("rep") == F.col("doc_id")).select("block", "rep", "text")
+    sets = reps.select("rep", "digest", "size").mapInArrow(members, "node long, class int, digest long, rep long")
+    work = blocks.join(sets, "node").select(F.col("component").alias("block"), "class", F.col("digest").alias("node"), "rep")
+    work = work.join(src, F.col("rep") == F.col("doc_id")).select("block", "class", "node", "text")
     parts = work.groupBy("block").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
-    work = work.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    work = work.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("part", i).alias("p"), F.greatest("part", i).alias("q")))
-    work = work.withColumn("pair", F.explode(others)).select("block", "pair.p", "pair.q", "rep", "text")
+    work = work.withColumn("pair", F.explode(others)).select("block", "pair.p", "pair.q", "class", "node", "text")
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("rep").sort_values("rep")
-        ids = f["rep"].to_numpy()
-        lab = join_block([shingles(t, n) for t in f["text"]], j)
+        sets = {}
+        for node, text in zip(f["node"], f["text"], strict=True):
+            own = shingles(text, n)
+            if digest(own) == node:  # rows of one id may have unlike texts
+                sets[node] = own
+        ids = np.array(sorted(sets), np.int64)
+        lab = join_block([sets[i] for i in ids.tolist()], j, int(f["class"].iloc[0])) if len(ids) else ids
         low = pd.Series(ids).groupby(lab).transform("min").to_numpy()
         on = ids != low
         return pd.DataFrame({"a": ids[on], "b": low[on]})
 
-    links = work.groupBy("block", "p", "q").applyInPandas(link, "a long, b long")
-    comp = components(saved(links))
-    labelled = reps.join(comp, F.col("rep") == F.col("node"), "left").select("digest", "digest2", F.coalesce("component", "rep").alias("component_id"))
+    comp = components(saved(work.groupBy("block", "p", "q").applyInPandas(link, "a long, b long")))
+    labelled = reps.join(comp, F.col("digest") == F.col("node"), "left").select("digest", "digest2", "rep", F.coalesce("component", "digest").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = labelled.join(smallest, "component").select("digest", "digest2", "component_id")
     return prof.join(labelled, ["digest", "digest2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
