@@ -17,8 +17,6 @@ def mart(key, text, *names):
 
 
 mart("I01", "select order_id, product_id, order_date, customer_id, zip, order_status, order_payment_method, payment_method_paid, payment_value, installments, device_type, order_source, customer_city, age_group, acquisition_channel, shipping_city, region, district, category, segment, size, color, quantity, line_list_revenue, line_net_revenue, line_cogs, discount_amount, promo_id from lines", "lines")
-for key, names in {"T01": "products", "T02": "customers", "T03": "geography", "T04": "promotions", "T05": "sorders", "T07": "payments", "T08": "shipments", "T10": "reviews"}.items():
-    mart(key, f"select * from {names}", names)
 mart("T06", "select order_id, product_id, quantity, round(unit_price, 4) as unit_price, round(discount_amount, 4) as discount_amount, promo_id, promo_id_2 from order_items", "order_items")
 mart("T09", "select return_id, order_id, product_id, return_date, return_reason, return_quantity, round(refund_amount, 4) as refund_amount from returns", "returns")
 mart("T11", "select sales_date, round(revenue, 4) as revenue, round(cogs, 4) as cogs from sales", "sales")

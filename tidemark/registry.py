@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import marts, quality, segments
+from tidemark.plans import marts, quality, segments, series, staging
 
 
 def queries():
-    return marts.queries() | segments.queries() | quality.queries()
+    return marts.queries() | segments.queries() | quality.queries() | staging.queries() | series.queries()
 
 
 def oracle_sql():
-    return marts.oracle_sql() | segments.oracle_sql() | quality.oracle_sql()
+    return marts.oracle_sql() | segments.oracle_sql() | quality.oracle_sql() | staging.oracle_sql() | series.oracle_sql()
