@@ -151,3 +151,73 @@ def test_html_on_spark(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html.extract_pages(df).collect())
     assert got == [(0, "u", "a, b.", 5), (2, None, "", 0), (2, None, "", 0), (9007199254740993, "x", "", 0)]
     assert html.extract_pages(df.limit(0)).collect() == []
+
+
+def clashing(spark, rows):
+    names = ["score", "ids", "n_ids", "found", "slice", "component_id", "hash", "owner", "_t"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({n: F.lit("x") for n in names})
+
+
+ROWS = [(None, None, None, None), (1, "", "en", "a"), (2, "token=abcdef", "en", "a"), (2, "token=abcdef", "en", "a"), (9007199254740993, "a b c " * 4000, None, "b"), (4, "c" * 5000, "en", None)]
+
+
+def test_every_operator_takes_nulls_repeats_clashes_and_nothing(spark):
+    docs = clashing(spark, ROWS)
+    items = spark.createDataFrame([(1, "a b c a b c"), (2, None), (3, "")], "item_id long, text string")
+    machine = toxicity.train([["badword"]] * 3, [["good", "fine"]] * 3)
+    runs = [
+        lambda d: toxicity.score(d, machine, ["doc_id"]), lambda d: pieces.encode(d, keep=d.columns), licenses.scan, lambda d: decontaminate.leaks(d, items),
+        secrets.report, secrets.redact, jaccard.similar_join,
+    ]
+    for run in runs:
+        got = run(docs)
+        ids = {r.doc_id for r in got.collect()}
+        assert ids <= {None, 1, 2, 4, 9007199254740993}
+        assert run(docs.limit(0)).count() == 0
+    assert {r.doc_id for r in pieces.encode(docs).filter("round_trip").collect()} == {None, 1, 2, 4, 9007199254740993}
+    assert [r.n_live for r in secrets.report(docs).filter("doc_id = 2").collect()] == [1, 1]
+    assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).filter("text = 'token=[SECRET]'").count() == 2
+
+
+def test_pieces_search_is_the_full_search():
+    codec = pieces.Codec(pieces.model_path())
+    rng = np.random.default_rng(8)
+
+    def full(text):  # best score over all segmentations, by the definition
+        best = [0.0] + [-1e18] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - codec.longest), end):
+                hit = codec.ids.get(text[start:end])
+                best[end] = max(best[end], best[start] + hit[1] if hit else -1e18)
+            if best[end] < -1e17:
+                best[end] = best[end - 1] - pieces.BYTE_PENALTY
+        return best[-1]
+
+    gain = {i: s for i, s in codec.ids.values()}
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "th", "e", " ", "\n", "tion", "x", "==", "ing "], rng.integers(1, 40)))
+        marked = (pieces.MARK + text.replace(" ", pieces.MARK))
+        ids = codec.encode(text)
+        feeds = sum(i not in gain for i in ids)
+        assert codec.decode(ids) == text
+        assert abs(sum(gain.get(i, 0.0) for i in ids) - feeds * pieces.BYTE_PENALTY - full(marked)) < 1e-3
+    long = "a" * 20_000
+    assert codec.decode(codec.encode(long)) == long
+
+
+def test_decontaminate_recall_at_the_limit():
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("aeioustrnl"), rng.integers(3, 9))) for _ in range(1500)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(15, 60)))) for i in range(100)]
+    index, filler, words, letters = decontaminate.Index(items), " ".join(rng.choice(vocabulary, 80)), 0, 0
+    for i, text in items:
+        w = text.split()
+        edited = list(w)
+        for p in rng.choice(len(w), int(0.2 * len(w)), replace=False):
+            edited[p] = ["zzzz", "", w[p] + " qqqq"][rng.integers(3)]
+        spelt = [x[:-1] + "q" if k % 4 == 0 and len(x) > 4 else x for k, x in enumerate(w)]
+        words += any(f[0] == i for f in index.scan(f"{filler} {' '.join(edited)} {filler}"))
+        letters += any(f[0] == i for f in index.scan(f"{filler} {' '.join(spelt)} {filler}"))
+    assert words >= 95 and letters >= 90
+    assert index.scan(filler) == []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.storage import saved
 
-DIMS, FANOUT, PART_ROWS, ROUNDS = 64, 32, 3000, 16
+DIMS, FANOUT, PART_ROWS, ROUNDS, REFUSED = 64, 32, 3000, 16, 1_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
 
@@ -187,6 +187,8 @@ def join_block(sets: list[np.ndarray], j: float, c: int) -> np.ndarray:
                         label[label == b] = a
                     else:
                         refused.add(pair)
+                        if len(refused) > REFUSED:  # they are verified anew where they meet again
+                            refused.clear()
 
     for own in np.split(member, np.nonzero(np.diff(cell))[0] + 1):
         if len(own) > 1 and (label[own] != label[own[0]]).any():
