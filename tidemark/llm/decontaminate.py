@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-RATE, BITS, WALKS, REPEATS, ITEM_BLOCK = 0.2, 4, 10, 40, 5000
-NEAR_LETTERS, LOOSE = 5, 0.6
+RATE, BITS, WALKS, REPEATS, ITEM_BLOCK, TEXTS = 0.2, 4, 10, 40, 5000, 1500
+NEAR_LETTERS, LOOSE, NEAR_SEEN = 5, 0.6, 50_000  # the last: answers kept, the rest are worked out again
 
 
 def words(text: str | None) -> list[bytes]:
@@ -86,6 +86,7 @@ class Index:
         limit = max(2, 0.03 * len(split))
         self.ids = {x: n for n, x in enumerate(sorted(df), 1)}
         self.near: dict[bytes, int] = {}
+        self.near_seen: dict[bytes, int] = {}
         for x, n in self.ids.items():
             if len(x) >= NEAR_LETTERS - 1:
                 for form in shorter(x):
@@ -109,37 +110,49 @@ class Index:
         self.walk, self.pick, self.table = {}, {}, {}
         for n, own in self.by_len.items():
             self.walk[n] = rng.integers(1, 2**40, (WALKS, 3 * n)) | 1
-            self.pick[n] = [np.sort(rng.choice(3 * n, min(BITS, 3 * n), replace=False)) for _ in range(REPEATS)]
-            table = [defaultdict(list) for _ in range(REPEATS)]
-            for k, keys in enumerate(self.samples(np.stack([s for _, s in own]), n).tolist()):
-                for r, key in enumerate(keys):
-                    table[r][key].append(k)
-            self.table[n] = table
+            self.pick[n] = np.stack([np.sort(rng.choice(3 * n, min(BITS, 3 * n), replace=False)) for _ in range(REPEATS)])
+            keys = self.samples(np.stack([s for _, s in own]), n)
+            known, which = np.unique(keys.ravel(), return_inverse=True)
+            holds = np.unique(np.stack([which.ravel(), np.repeat(np.arange(len(own)), REPEATS)]), axis=1)
+            self.table[n] = known, np.searchsorted(holds[0], np.arange(len(known) + 1)), holds[1]
 
     def samples(self, x: np.ndarray, n: int) -> np.ndarray:
-        """Hash of each repeat's sampled positions for each row of symbols."""
-        out = np.zeros((len(x), REPEATS), np.int64)
-        padded = np.hstack([x + 1, np.zeros((len(x), 1), np.int64)])
-        flat, origin = padded.ravel(), np.arange(len(x)) * (n + 1)
-        for v in range(WALKS):
-            own = range(v, REPEATS, WALKS)
-            wanted = {int(p) for r in own for p in self.pick[n][r]}
-            at, walked = origin.copy(), {}
-            for t in range(max(wanted) + 1):
-                c = flat.take(at)
-                if t in wanted:
-                    walked[t] = c
-                at += (c * self.walk[n][v, t] >> 37) & 1  # the end, 0, keeps its place
-            for r in own:
-                for p in self.pick[n][r]:
-                    out[:, r] = out[:, r] * 1_000_003 + walked[int(p)] + 7
+        """Hash of each repeat's number and sampled positions for each row of symbols; all walks step together."""
+        rows = len(x)
+        flat = np.hstack([x + 1, np.zeros((rows, 1), np.int64)]).ravel()
+        at = np.tile(np.arange(rows) * (n + 1), (WALKS, 1))
+        taken, walked = set(self.pick[n].ravel().tolist()), {}
+        for t in range(max(taken) + 1):
+            c = flat.take(at)
+            if t in taken:
+                walked[t] = c
+            at += (c * self.walk[n][:, t, None] >> 37) & 1  # the end, 0, keeps its place
+        out = np.tile(np.arange(REPEATS, dtype=np.int64), (rows, 1))
+        for r, picked in enumerate(self.pick[n].tolist()):
+            for p in picked:
+                out[:, r] = out[:, r] * 1_000_003 + walked[p][r % WALKS] + 7
         return out
 
+    def found_by(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """Distinct (row, number of an item of n words) that share a sample."""
+        known, start, owner = self.table[n]
+        spot = np.minimum(np.searchsorted(known, keys.ravel()), len(known) - 1)
+        hit = np.nonzero(known[spot] == keys.ravel())[0]
+        row, spot = hit // REPEATS, spot[hit]
+        many = start[spot + 1] - start[spot]
+        item = owner[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[spot], many)]
+        return np.unique(np.stack([np.repeat(row, many), item], axis=1), axis=0)
+
     def near_word(self, word: bytes) -> int:
         """The number of the first benchmark word that is a letter away, or 0."""
         if len(word) < NEAR_LETTERS:
             return 0
-        return min((n for n in map(self.near.get, shorter(word)) if n and one_apart(self.spelled[n], word)), default=0)
+        n = self.near_seen.get(word)
+        if n is None:
+            n = min((n for n in map(self.near.get, shorter(word)) if n and one_apart(self.spelled[n], word)), default=0)
+            if len(self.near_seen) < NEAR_SEEN and len(word) < 40:
+                self.near_seen[word] = n
+        return n
 
     def symbols(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words, none where no item can be; words with changed letters are looked up where LOOSE of an item's rare words are together."""
@@ -192,20 +205,13 @@ class Index:
             docs = np.repeat([d for d, _ in groups], [len(at) for _, at in groups])
             starts = np.concatenate([at for _, at in groups])
             own, pad = self.by_len[n], int(RATE * n + 1e-9)
-            for i in range(0, len(starts), 4096):
-                part, doc = starts[i : i + 4096], docs[i : i + 4096]
+            for i in range(0, len(starts), 1024):
+                part, doc = starts[i : i + 1024], docs[i : i + 1024]
                 x = np.zeros((len(part), n), np.int64)
                 for k, (d, p) in enumerate(zip(doc.tolist(), part.tolist(), strict=True)):
                     got = symbols[d][p : p + n]
                     x[k, : len(got)] = got
-                keys = self.samples(x, n)
-                tried: set[tuple[int, int]] = set()
-                for r in range(REPEATS):
-                    table = self.table[n][r]
-                    known = np.fromiter(table, np.int64, len(table))
-                    for k in np.nonzero(np.isin(keys[:, r], known))[0].tolist():
-                        tried.update((k, m) for m in table[int(keys[k, r])])
-                pairs = np.array(sorted(tried), np.int64).reshape(-1, 2)
+                pairs = self.found_by(self.samples(x, n), n)
                 for j in range(0, len(pairs), 4096):
                     rows, which = pairs[j : j + 4096].T
                     wanted, near = np.stack([own[m][1] for m in which.tolist()]), np.zeros((len(rows), n + 2 * pad), np.int64)
@@ -235,8 +241,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         def each(batches, block=block):
             index = Index(block)
             for batch in batches:
-                for first in range(0, batch.num_rows, 500):
-                    part = batch.slice(first, 500)
+                for first in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(first, TEXTS)
                     got = [(row, *x) for row, found in enumerate(index.scan_all(part.column(1).to_pylist())) for x in found]
                     ids = part.column(0).take(pa.array([g[0] for g in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([g[1] for g in got]) if got else pa.array([], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())], names=["doc_id", "item_id", "distance", "first_word"])
