@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, html, jaccard, licenses, pieces, secrets, topk, toxicity, url_filter, warc
+from tidemark.llm import decontaminate, html, jaccard, licenses, packing, pieces, secrets, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html": html.query,
     "op9_jaccard_join": jaccard.query,
     "op10_warc": warc.query,
+    "op11_packing": packing.query,
 }
 ORACLES = {"op4_topk": topk.ORACLE, "op5_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE}
