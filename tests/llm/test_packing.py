@@ -4,12 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
 
-TEXTS = [None, "", "Hello there. <|endoftext|> It's 3 o'clock!\nA line\n\nÉté é ẖ H̱ ΟΔΟΣ x y\tz", "plain words " * 4000, "x" * 9000, "One two three. " * 1500, "a\n", "\n", " ", "Hello there."]
+TEXTS = [None, "", "Hello there. <|endoftext|> It's 3 o'clock!\nA line\n\nÉté é ẖ H̱ ΟΔΟΣ x y\tz", "plain words " * 4000, "x" * 9000, "One two three. " * 1500, "a\n", "\n", " ", "Hello there.", "a \x01 b\x01c \x01\x01"]
 
 
 def padding(length: int) -> int:
@@ -54,6 +55,16 @@ def test_pieces_cover_every_text(spark, monkeypatch):
     assert sorted((r.start, r.length) for r in twice) == [(0, 2), (0, 2)]
 
 
+def test_ids_of_odd_texts():
+    words, tokenizer = packing.Words(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(2)
+    signs = [*"abcXYZ019 \n\t\r.,;:!?'\"()<>|-_=", "é", "É", "ß", "×", "÷", "e\u0301", "=\u0338", "\u0301", "…", "Σ", "İ", "中", "\u00a0", "\u2003", "'s", "'LL", "<|endoftext|>", "\x01", "\x1c", "😀", "ÿ", "H\u0331"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 60)))) for _ in range(3000)]
+    ids, counts, _ = words.encode(pa.array(["skipped", *texts, None])[1:])
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch([*texts, ""], add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.001"
     got = packing.query(spark, d).collect()

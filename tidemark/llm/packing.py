@@ -18,8 +18,8 @@ very long texts run over many sequences; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,65 +31,114 @@ from pyspark.sql import DataFrame, SparkSession
 
 SIZE, END, CHAIN, GRID = 4096, 2, 1 << 19, 64
 OPEN, DOC, SENTENCE, INSIDE = 16, 1, 8, 64
-SLICE_BYTES, POOL_WORDS = 4 << 20, 400_000
+SLICE_BYTES, TOGETHER, MARK = 16 << 20, 1000, "\x01"
+#: Kinds of bytes: signs that never share a token with a letter beside them (' may, and < > | stand in special tokens), and others.
+OTHER, LETTER, SIGN = 0, 1, 4
+SIGNS = b".,;:!?()[]{}\"-/*+=_%&#@$"
+KIND = np.full(256, OTHER, "uint8")
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[list(SIGNS)] = SIGN
+LOWER = np.arange(256, dtype="uint8")
+LOWER[65:91] += 32
 
 
 class Words:
-    """Ids of texts, word by word. No token reaches over a space or a line's end, so that a text's ids are those of
-    its words one after another; words met before are looked up in a pool that starts anew when it is full."""
+    """Ids of texts, by their distinct words.
+
+    No token reaches over a space or a line's end, nor from a letter to one of SIGNS or back, so that a text's ids are those of the
+    stretches between such places one after another. Stretches of Latin-1 letters are put in lower case and are one word each to the
+    tokenizer, whose last id, and no other, ends a word; the others are encoded with a mark between them, and one by one where one holds the mark."""
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(model)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.letters = Tokenizer.from_file(model), Tokenizer.from_file(model)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
-        self.stops = np.zeros(max(vocab.values()) + 1, bool)
+        self.stops, self.last = np.zeros(max(vocab.values()) + 1, bool), np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
-            self.stops[i] = piece.removesuffix("</w>").endswith((".", "!", "?"))
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.first, self.size, self.used = np.zeros(1 << 16, "uint32"), np.zeros(1 << 16, "int64"), np.zeros(1 << 16, "int64"), 0
-
-    def learn(self, words: list[str]) -> np.ndarray:
-        """Each word's place in the pool."""
-        if len(self.at) > POOL_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.at]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), "int64", len(found))
-            flat, n = np.fromiter((i for ids in found for i in ids), "uint32", int(sizes.sum())), len(self.at)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(new) > len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.first[n : n + len(new)], self.size[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.used += len(flat)
-            self.at.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, words), "int64", len(words))
+            self.stops[i], self.last[i] = piece.removesuffix("</w>").endswith((".", "!", "?")), piece.endswith("</w>")
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def learn(self, words: pa.Array, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each."""
+        tokenizer = self.letters if letters else self.tokenizer
+        bounds = np.append(np.arange(0, len(words), TOGETHER), len(words)).astype("int32")
+        joined = pc.binary_join(pa.ListArray.from_arrays(bounds, words.cast(pa.string())), " " if letters else f" {MARK} ").to_pylist()
+        ids, sizes = [np.zeros(0, "uint32")], [np.zeros(0, "int64")]
+        for found, a, b in zip(tokenizer.encode_batch_fast(joined, add_special_tokens=False), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = np.array(found.ids, "uint32")
+            if letters:
+                ids.append(own)
+                sizes.append(np.diff(np.nonzero(self.last[own])[0], prepend=-1))
+                continue
+            marks = np.nonzero(own == self.mark)[0]
+            if len(marks) == b - a - 1:
+                ids.append(np.delete(own, marks))
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(own)]])) - 1)
+            else:
+                single = [e.ids for e in tokenizer.encode_batch_fast(words[a:b].to_pylist(), add_special_tokens=False)]
+                ids.append(np.array([i for w in single for i in w], "uint32"))
+                sizes.append(np.fromiter(map(len, single), "int64", b - a))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each, by the words' distinct stretches."""
+        words = words.cast(pa.large_string())
+        till = np.cumsum(pc.binary_length(words).to_numpy())
+        total, at = int(till[-1]) if len(till) else 0, int(np.frombuffer(words.buffers()[1], "int64", count=words.offset + 1)[-1])
+        data = np.frombuffer(words.buffers()[2] or b"", "uint8", count=total, offset=at)
+        kind, low = KIND[data], LOWER[data]
+        two = np.nonzero(data[:-1] == 0xC3)[0]  # lead byte of the upper half of Latin-1, letters but for two signs
+        two = two[(data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
+        kind[two] = kind[two + 1] = LETTER
+        upper = two[data[two + 1] <= 0x9E] + 1
+        low[upper] = data[upper] + 0x20
+        begin = np.append(True, kind[1:] + kind[:-1] == LETTER + SIGN)[:total]
+        begin[till[till < total]] = True
+        first = np.nonzero(begin)[0]
+        pure = np.add.reduceat(kind != LETTER, first, dtype="int64") == 0 if total else np.zeros(0, bool)
+        held = np.where(np.repeat(pure, np.diff(first, append=total)), low, data)
+        coded = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.append(first, total)), pa.py_buffer(held)]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        letters = np.zeros(len(coded.dictionary), bool)
+        letters[code] = pure
+        pool, start, size = [np.zeros(0, "uint32")], np.zeros(len(letters), "int64"), np.zeros(len(letters), "int64")
+        for which in (True, False):
+            own = np.nonzero(letters == which)[0]
+            if len(own):
+                ids, n = self.learn(coded.dictionary.take(pa.array(own)), which)
+                start[own], size[own] = sum(map(len, pool)) + np.cumsum(n) - n, n
+                pool.append(ids)
+        flat, ends = gathered(np.concatenate(pool), start[code], size[code])
+        return flat, np.diff(ends[np.searchsorted(first, till)], prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with an end mark behind each, the number of ids of each, and whether a sentence ends behind an id."""
         parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n "), " ")
         coded = parts.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        place = self.learn(words)[code]
-        sizes = self.size[place]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(self.first[place] - ends[:-1], sizes) + np.arange(ends[-1])]
-        rows = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
-        counts = np.diff(ends[rows])
-        to = np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)
-        ids, stop = np.full(len(flat) + len(counts), END, "uint32"), np.zeros(len(flat) + len(counts), bool)
-        ids[to], stop[to] = flat, self.stops[flat]
-        if "\n" in words:
-            lines = np.nonzero(code == words.index("\n"))[0]
-            before = ends[lines] + np.searchsorted(rows, lines, "right") - 1  # ids and end marks before the line's end
+        ids, size = self.spell(coded.dictionary)
+        rows = np.cumsum(pc.list_value_length(parts).to_numpy())
+        end = len(coded.dictionary)  # one more word, the end mark
+        code = np.insert(coded.indices.to_numpy(), rows, end)
+        ids, size = np.append(ids, np.uint32(END)), np.append(size, 1)
+        flat, ends = gathered(ids, (np.cumsum(size) - size)[code], size[code])
+        counts = np.diff(ends[rows + np.arange(1, len(rows) + 1)], prepend=0)
+        stop = self.stops[flat]
+        line = pc.index(coded.dictionary, "\n").as_py()
+        if line >= 0:
+            before = ends[np.nonzero(code == line)[0]]
             stop[before[before > 0] - 1] = True
-        return ids, counts + 1, stop
+        return flat, counts, stop
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a pool one after another, and where each begins and the last one ends."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    kind = "int32" if max(len(pool), ends[-1]) < 2**31 else "int64"
+    return pool[np.repeat((start - ends[:-1]).astype(kind), size) + np.arange(ends[-1], dtype=kind)], ends
 
 
 @cache
@@ -99,41 +148,47 @@ def words_of(model: str) -> Words:
 
 def places(docs: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may fall, counted in ids before them, and the penalty of each; docs: ends of documents."""
-    ends = np.union1d(np.setdiff1d(np.nonzero(stop)[0] + 1, docs - 1), docs)  # none between a document's last id and its end mark
-    gaps = np.diff(np.concatenate([[0], ends]))
-    wide = np.nonzero(gaps > 4 * GRID)[0]
-    inside = [np.arange(ends[i] - gaps[i] + GRID, ends[i], GRID) for i in wide]
-    at = np.union1d(ends, np.concatenate(inside)) if inside else ends
-    cost = np.full(len(at), INSIDE)
-    cost[np.searchsorted(at, ends)] = SENTENCE
-    cost[np.searchsorted(at, docs)] = DOC
-    return at, cost
+    mark = np.zeros(len(stop) + 1, "uint8")
+    mark[1:][stop] = SENTENCE
+    mark[docs - 1] = 0  # not between a document's last id and its end mark
+    mark[docs] = DOC
+    ends = np.nonzero(mark)[0]
+    gaps = np.diff(ends, prepend=0)
+    for i in np.nonzero(gaps > 4 * GRID)[0].tolist():
+        mark[ends[i] - gaps[i] + GRID : ends[i] : GRID] = INSIDE
+    at = np.nonzero(mark)[0]
+    return at, mark[at].astype("int64")
 
 
 def ways(at: np.ndarray, cost: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     """Positions from 0 on, the least cost of each as a cut, and the cut before it; no two positions are more than SIZE apart."""
     at = np.concatenate([[0], at])
-    hits: list[list[int]] = [[] for _ in at]
+    hits: dict[int, list[int]] = {}
     for k in range(SIZE.bit_length()):
         j = np.searchsorted(at, at - (1 << k))
-        for i in np.nonzero(at[j] == at - (1 << k))[0].tolist():
-            hits[i].append(int(j[i]))
+        own = np.nonzero(at[j] == at - (1 << k))[0]
+        for i, h in zip(own.tolist(), j[own].tolist(), strict=True):
+            hits.setdefault(i, []).append(h)
     pos, price = at.tolist(), [0, *(cost + OPEN).tolist()]
     best, back = [0] * len(pos), [0] * len(pos)
-    queue = deque([(0, 0, 0)])  # rising f(q) + q, q, number
-    for i in range(1, len(pos)):
-        p = pos[i]
-        while queue[0][1] < p - SIZE:
-            queue.popleft()
-        least, j = queue[0][0] + SIZE - p, queue[0][2]
-        for h in hits[i]:
-            if best[h] <= least:
-                least, j = best[h], h
+    keys, numbers, head = [0], [0], 0  # the queue from head on: rising f(q) + q, and the number of q
+    for i, p in enumerate(pos):
+        if not i:
+            continue
+        while pos[numbers[head]] < p - SIZE:
+            head += 1
+        least, j = keys[head] + SIZE - p, numbers[head]
+        if i in hits:
+            for h in hits[i]:
+                if best[h] <= least:
+                    least, j = best[h], h
         best[i], back[i] = least + price[i], j
-        key = best[i] + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, p, i))
+        key = least + price[i] + p
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            numbers.pop()
+        keys.append(key)
+        numbers.append(i)
     return pos, best, back
 
 
