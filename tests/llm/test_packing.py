@@ -43,11 +43,10 @@ def check(rows, texts):
     return total
 
 
-def test_pieces_cover_every_text(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CHAIN", 9000)
+def test_pieces_cover_every_text(spark):
     rows = [(i, t, "other") for i, t in enumerate(TEXTS * 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, offset string").repartition(3)
-    got = packing.pack(df).collect()
+    got = packing.pack(df, chain=9000).collect()
     assert check(got, {i: t for i, t, _ in rows}) <= 0.02 * sum(r.length for r in got)
     assert packing.pack(df.limit(0)).count() == 0
     assert [r.doc_id for r in packing.pack(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()] == [None]

@@ -230,8 +230,8 @@ OUT = pa.schema([(f.split()[0], pa.int64()) for f in FIELDS.split(", ")])
 class Stream:
     """The documents of a task that are not packed yet."""
 
-    def __init__(self, task: int):
-        self.next, self.ids, self.stop = task << 40, [], []
+    def __init__(self, task: int, chain: int = CHAIN):
+        self.next, self.chain, self.ids, self.stop = task << 40, chain, [], []
         self.rows: list[np.ndarray] = []  # doc_id, known, ids of the document before, ids here, ids of the document
         self.held = 0
 
@@ -241,7 +241,7 @@ class Stream:
         self.stop.append(stop)
         self.rows.append(np.stack([pc.fill_null(doc_ids, 0).to_numpy(), known, np.zeros_like(sizes), sizes, sizes], 1).astype("int64"))
         self.held += len(ids)
-        if self.held >= CHAIN:
+        if self.held >= self.chain:
             yield from self.pack(False)
 
     def pack(self, last: bool) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ class Stream:
         self.ids, self.stop, self.rows, self.held = [ids[done:].copy()], [stop[done:].copy()], [left], len(ids) - int(done)
 
 
-def pack(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
     """A row for each piece of a document in a sequence."""
     if model is None:
         import public_tokenizers
@@ -276,7 +276,7 @@ def pack(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text
         model = public_tokenizers.path("word_bpe_49k.json")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, stream = words_of(model), Stream(TaskContext.get().partitionId())
+        words, stream = words_of(model), Stream(TaskContext.get().partitionId(), chain)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             share = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype("int64")) // SLICE_BYTES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import codes, decontaminate, html, jaccard, licenses, packing, pieces, secrets, topk, toxicity, url_filter, warc
+from tidemark.llm import codes, decontaminate, html, jaccard, licenses, packing, phrases, pieces, secrets, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.query,
     "op10_warc": warc.query,
     "op11_packing": packing.query,
+    "op12_phrases": phrases.query,
     "op13_product_codes": codes.query,
 }
-ORACLES = {"op4_topk": topk.ORACLE, "op5_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE, "op13_product_codes": codes.ORACLE}
+ORACLES = {"op4_topk": topk.ORACLE, "op5_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE, "op12_phrases": phrases.ORACLE, "op13_product_codes": codes.ORACLE}
