@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Functions from DataFrame to DataFrame that know no table."""
