@@ -48,12 +48,12 @@ def some(seed, docs=60):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("shard", [1 << 30, 300])
+@pytest.mark.parametrize("shard", [1 << 30, 60])
 def test_against_counting(spark, seed, shard):
     rows = some(seed)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows + rows[:20]], "text string, lang string, a int, phrase string").repartition(4)
     for least, top in ((4, 1000), (12, 5)):
-        assert {tuple(r) for r in phrases.collocations(df, least, top, shard_bytes=shard).collect()} == by_counting(rows + rows[:20], least, top)
+        assert {tuple(r) for r in phrases.collocations(df, least, top, shard_words=shard).collect()} == by_counting(rows + rows[:20], least, top)
 
 
 def test_full_filter_and_empty_tables(spark):

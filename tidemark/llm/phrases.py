@@ -1,16 +1,17 @@
 """Phrases of 2 to 5 words that stand together more often than their parts let expect, for each language.
 
-SON partitioning in two passes over the texts. First every shard (about SHARD_BYTES of a task's texts) is mined completely: with m of
-a language's n words in it, the shard's support is ceil(least * m / n), and a phrase that reaches least occurrences in all reaches that
-in one shard at least. Within a shard phrases grow word by word: one of k words is counted where both its parts
-of k - 1 words are frequent in the shard. Shards hand over their frequent phrases with their counts; the union keeps
-those that could still reach the least count, if every other shard held one occurrence less than its support. Second, all
-shards count the phrases of the union, and the counts are summed and tested exactly.
-
-A shard learns what to count from a Bloom filter of the union's hashes, of BLOOM_BITS bits whatever the size of the union: a phrase that it lets through
-by mistake is counted like the others and tested by its exact count, so that a full filter costs time only.
-A shard's arrays are bounded by SHARD_BYTES and its longest text. Where shards are so many that their support is one, all
-phrases of a shard are frequent there and the union is as large as the corpus's phrases.
+Words are counted first, exactly and in all; no word below the least count can stand in a phrase that reaches it. Then SON partitioning in
+two passes over the texts. First every shard (a task's texts, up to SHARD_WORDS words) is mined completely: with m of a
+language's n words in it, the shard's support is ceil(least * m / n), and a phrase that reaches least occurrences in all
+reaches that in one shard at least. Within a shard phrases grow word by word: one of k words is counted where both its parts
+of k - 1 words are frequent, the words in all and longer parts in the shard. Shards hand over their frequent phrases with their counts; the
+union keeps those that could still reach the least count, if every other shard held one occurrence less than its
+support. Second, all shards count the phrases of the union, and the counts are summed and tested exactly.
+
+A shard learns the frequent words and the union from Bloom filters of BLOOM_BITS bits each, whatever the number of phrases: one that a filter
+lets through by mistake is counted like the others and tested by its exact count, so that a full filter costs time only.
+A shard's arrays are bounded by SHARD_WORDS and its longest text. Tasks are merged until they fill shards or are as few as the cores. Shards grow in
+number with the corpus and their support falls, down to one, where each hands over all its phrases of frequent words.
 
 Null texts are empty; null languages are `und`; repeated rows count each by itself; ties go by count and then by the phrase's bytes; an empty
 table gives no rows; other columns are not read. Scores are floors of exact quotients in decimals of 38 digits.
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.llm.storage import saved
 
 LONGEST, LEAST, TOP, FEW_LANGUAGES = 5, 100, 2000, 10_000
-SHARD_BYTES, BLOOM_BITS, PROBES, SPELLED = 64 << 20, 1 << 25, 3, 100_000
+SHARD_WORDS, BLOOM_BITS, PROBES, SPELLED = 14_000_000, 1 << 25, 3, 100_000
+SLICE_BYTES, BLOCK, DEALS = 4 << 20, 1 << 20, 16
 LOWER = np.arange(256, dtype="uint8")
 LOWER[65:91] += 32
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -37,54 +39,69 @@ BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 BLANK[list(b" \t")] = True
 
 
+def parsed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of each occurrence's word, and the occurrences that begin a piece."""
+    texts = texts.cast(pa.large_binary())
+    size = pc.binary_length(texts).to_numpy()
+    buffers = texts.buffers()
+    at = int(np.frombuffer(buffers[1], "int64", count=texts.offset + 1)[-1])
+    data = LOWER[np.frombuffer(buffers[2] or b"", "uint8", count=int(size.sum()), offset=at)]
+    letter = ~(BREAK[data] | BLANK[data])
+    ends = np.cumsum(size)
+    begin = letter.copy()
+    begin[1:] &= ~letter[:-1]
+    fresh = ends[:-1][ends[:-1] < len(data)]
+    begin[fresh] = letter[fresh]  # a text's first word does not go on from the text before
+    first = np.nonzero(begin)[0]
+    stop = letter.copy()
+    stop[:-1] &= ~letter[1:] | begin[1:]
+    offsets = np.concatenate([[0], np.cumsum(np.nonzero(stop)[0] - first + 1)]).astype("int64")
+    # pieces are told apart by the breaks and texts before them
+    piece = np.searchsorted(np.nonzero(BREAK[data])[0], first) + np.searchsorted(ends, first, "right")
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.nonzero(np.diff(piece, prepend=-1))[0]
+
+
 class Shard:
-    """Words of some texts: their numbers, the distinct words and the piece that each occurrence is in."""
-
-    def __init__(self, texts: list[pa.Array]):
-        texts = pa.concat_arrays([t.cast(pa.large_binary()) for t in texts])
-        size = pc.binary_length(texts).to_numpy()
-        buffers = texts.buffers()
-        at = int(np.frombuffer(buffers[1], "int64", count=texts.offset + 1)[-1])
-        data = LOWER[np.frombuffer(buffers[2] or b"", "uint8", count=int(size.sum()), offset=at)]
-        cut = BREAK[data]
-        letter = ~(cut | BLANK[data])
-        ends = np.cumsum(size)
-        begin = letter.copy()
-        begin[1:] &= ~letter[:-1]
-        fresh = ends[:-1][ends[:-1] < len(data)]
-        begin[fresh] = letter[fresh]  # a text's first word does not go on from the text before
-        first = np.nonzero(begin)[0]
-        piece = np.cumsum(cut)[first] + np.searchsorted(ends, first, "right")
-        del cut, begin
-        length = np.diff(np.append(np.cumsum(letter)[first] - 1, letter.sum()))
-        offsets = np.concatenate([[0], np.cumsum(length)]).astype("int64")
-        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])]).dictionary_encode()
-        self.words, self.ids = words.dictionary.cast(pa.large_string()), words.indices.to_numpy().astype("int64")
-        self.piece = piece
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()), "uint64", len(words.dictionary))
-        self.hash = hashes[self.ids] if len(self.ids) else hashes
-
-    def hashes(self, k: int) -> np.ndarray:
-        """Hashes of all stretches of k words, whether or not in one piece."""
-        n = max(0, len(self.ids) - k + 1)
-        out = np.zeros(n, "uint64")
-        for j in range(k):
-            out = mixed(out + self.hash[j : j + n])
+    """Words of some texts by their numbers, -1 between pieces, and the distinct words."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, texts: pa.Array) -> None:
+        words, ids, begins = parsed(texts)
+        own = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words.to_pylist()), "int32", len(words))
+        self.parts.append(np.insert(own[ids], begins, -1))
+        self.held += len(ids)
+
+    def closed(self) -> Shard:
+        self.ids = np.concatenate([*self.parts, np.full(LONGEST, -1, "int32")])
+        self.parts = []
+        self.words = pa.array(list(self.number), pa.large_binary()).cast(pa.large_string())
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.number), "uint64", len(self.number))
+        self.number = {}
+        pa.default_memory_pool().release_unused()
+        return self
+
+    def hashes(self, k: int, starts: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of k words; of one word, its own."""
+        out = self.hash[self.ids[starts]]
+        for j in range(1, k):
+            out = mixed(out + self.hash[self.ids[starts + j]])
         return out
 
-    def whole(self, k: int) -> np.ndarray:
-        """Starts of the stretches of k words that lie in one piece."""
-        n = max(0, len(self.ids) - k + 1)
-        return np.nonzero(self.piece[:n] == self.piece[k - 1 : k - 1 + n])[0]
-
-    def counted(self, starts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One start and the count of each name, and each start's place among them."""
-        _, one, place, count = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-        return starts[one], count, place
+    def pairs(self, good: np.ndarray) -> np.ndarray:
+        """Places that are good and followed by a good one."""
+        out = [np.zeros(0, "int32")]
+        for a in range(0, len(good) - 1, BLOCK):
+            out.append((np.nonzero(good[a : a + BLOCK][: len(good) - 1 - a] & good[a + 1 : a + BLOCK + 1])[0] + a).astype("int32"))
+        return np.concatenate(out)
 
     def names(self, starts: np.ndarray, k: int) -> np.ndarray:
         """Whole numbers, equal for equal stretches of k words and for no others."""
-        names = self.ids[starts]
+        names = self.ids[starts].astype("int64")
         for j in range(1, k):
             names = names * max(1, len(self.words)) + self.ids[starts + j]
             if j + 1 < k:
@@ -102,21 +119,32 @@ class Shard:
             head = [pa.array(np.full(len(own), lang, object), pa.string()), self.spelled(own, k), pa.array(np.full(len(own), k, "int32"))]
             yield pa.RecordBatch.from_arrays([*head, *(pa.array(c[a : a + SPELLED]) for c in columns)], schema=schema)
 
-    def frequent(self, support: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """k, starts and counts of all phrases with at least the support, from one word on."""
-        left, name = np.arange(len(self.ids)), self.ids
-        for k in range(1, LONGEST + 1):
-            one, count, place = self.counted(left, name)
-            yield k, one[count >= support], count[count >= support]
-            if k == LONGEST:
-                return
-            # a longer phrase starts where one frequent phrase starts and the next one a word later, in one piece
-            kept = count[place] >= support
-            number = np.full(len(self.ids), -1)
-            number[left[kept]] = place[kept]
-            left = self.whole(k + 1)
-            left = left[(number[left] >= 0) & (number[left + 1] >= 0)]
-            name = number[left] * max(1, len(one)) + number[left + 1]
+    def frequent(self, support: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """k, starts and counts of all phrases of two and more known words with at least the support."""
+        number, size = np.append(np.where(known, np.arange(len(known)), -1), -1).astype("int32")[self.ids], max(1, len(self.words))
+        for k in range(2, LONGEST + 1):
+            # a phrase starts where one frequent part starts and the next one a word later
+            left = self.pairs(number >= 0)
+            name = number[left].astype("int64") * size + number[left + 1]
+            number[:], size, kept = -1, 0, []
+            for own in dealt(name):
+                _, one, place, count = np.unique(name[own], return_index=True, return_inverse=True, return_counts=True)
+                much = count >= support
+                among = much[place]
+                number[left[own[among]]] = (np.cumsum(much) - 1)[place[among]] + size
+                size += int(much.sum())
+                kept.append((left[own[one[much]]], count[much]))
+            yield k, *(np.concatenate(x) for x in zip(*kept, strict=True))
+            size = max(1, size)
+
+
+def dealt(name: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of names in DEALS groups, equal ones together, so that each group is sorted by itself."""
+    group = np.zeros(len(name), "uint8")
+    for a in range(0, len(name), BLOCK):
+        group[a : a + BLOCK] = (name[a : a + BLOCK].astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(DEALS)
+    for g in range(DEALS):
+        yield np.nonzero(group == g)[0]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -124,30 +152,54 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of hashes; parts of it are put together by Spark, and at most bits / 64 rows reach the driver."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy().view("uint64")
+            at = np.unique(np.concatenate([bit(h, j, bits) for j in range(PROBES)]))
+            word, first = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype("uint64"), first) if len(at) else np.zeros(0, "uint64")
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view("int64"))], names=["word", "mask"])
+
+    table = np.zeros(-(-bits // 64), "uint64")
+    for part in hashes.mapInArrow(each, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+        table[part.column(0).to_numpy()] = part.column(1).to_numpy().view("uint64")
+    return table
+
+
+def passes(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for j in range(PROBES):
+        at = bit(h, j, bits)
+        out &= table[at >> 6] >> (at & 63).astype("uint64") & np.uint64(1) == 1
+    return out
+
+
 def bit(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
     return (mixed(h + np.uint64(probe)) % np.uint64(bits)).astype("int64")
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, int, Shard]]:
-    """Languages, their words in all and shards of a task's rows (lang, text, n); the largest goes when `most` bytes are held."""
-    held: dict[tuple[str, int], list[pa.Array]] = {}
-    size: dict[tuple[str, int], int] = {}
+    """Languages, their words in all and shards of a task's rows (lang, text, n); the largest goes when `most` words are held."""
+    held: dict[tuple[str, int], Shard] = {}
     for b in batches:
-        for lang in b.column(0).unique().to_pylist():
-            own = b.filter(pc.equal(b.column(0), lang))
-            key = lang, own.column(2)[0].as_py()
-            held.setdefault(key, []).append(own.column(1))
-            size[key] = size.get(key, 0) + own.column(1).nbytes
-        while sum(size.values()) >= most:
-            key = max(size, key=lambda k: size[k])
-            size.pop(key)
-            yield *key, Shard(held.pop(key))
+        share = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype("int64")) // SLICE_BYTES
+        bounds = [0, *(np.nonzero(np.diff(share))[0] + 1).tolist(), len(share)]
+        for part in (b.slice(a, z - a) for a, z in zip(bounds, bounds[1:], strict=False) if z > a):
+            for lang in part.column(0).unique().to_pylist():
+                own = part.filter(pc.equal(part.column(0), lang))
+                held.setdefault((lang, own.column(2)[0].as_py()), Shard()).add(own.column(1))
+        while sum(s.held for s in held.values()) >= most:
+            key = max(held, key=lambda k: held[k].held)
+            yield *key, held.pop(key).closed()
     while held:
         key, own = held.popitem()
-        yield *key, Shard(own)
+        yield *key, own.closed()
 
 
-def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES, bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words and a of all phrases of up to LONGEST words with at least `least` occurrences; lang and n."""
     spark = docs.sparkSession
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -156,49 +208,53 @@ def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col
     small = totals.count() <= FEW_LANGUAGES
     rows = docs.select(lang, text.cast("binary").alias("text")).join(F.broadcast(totals) if small else totals, "lang").select("lang", "text", "n")
 
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, shard in shards(batches, shard_words):
+            at = np.nonzero(shard.ids >= 0)[0]
+            one, n = np.zeros(len(shard.words), "int32"), np.bincount(shard.ids[at], minlength=len(shard.words))
+            one[shard.ids[at]] = at
+            yield from shard.rows(lang, one, 1, [shard.hash.view("int64"), n], worded)
+
+    single = rows.mapInArrow(count_words, "lang string, phrase string, words int, hash long, a long")
+    single = saved(single.groupBy("lang", "phrase", "words", "hash").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
+    known = spark.sparkContext.broadcast(bloom(single.select("hash"), bits))
+
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, n, shard in shards(batches, shard_bytes):
-            support = max(1, -(-least * len(shard.ids) // n))
+        for lang, n, shard in shards(batches, shard_words):
+            support = max(1, -(-least * shard.held // n))
             head = [pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([0]), pa.array([0]), pa.array([support - 1])]
             yield pa.RecordBatch.from_arrays(head, schema=mined)
-            for k, starts, count in shard.frequent(support):
-                yield from shard.rows(lang, starts, k, [shard.hashes(k)[starts].view("int64"), count, np.full(len(starts), support - 1)], mined)
+            for k, starts, count in shard.frequent(support, passes(shard.hash, known.value, bits)):
+                yield from shard.rows(lang, starts, k, [shard.hashes(k, starts).view("int64"), count, np.full(len(starts), support - 1)], mined)
+            del shard  # before the next one is put together
 
+    # fewer, larger shards have a higher support and hand over less; merging tasks moves nothing
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(totals.agg(F.sum("n")).head()[0] or 0) // shard_words))
+    rows = rows.coalesce(tasks)
     found = saved(rows.mapInArrow(mine, "lang string, phrase string, words int, hash long, a long, missed long"))
     slack = found.filter(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("missed").alias("slack"))
     union = found.filter(F.col("phrase").isNotNull()).groupBy("lang", "phrase", "words", "hash").agg(F.sum("a").alias("a"), F.sum("missed").alias("missed"))
     union = union.join(slack, "lang").filter(F.col("a") + F.col("slack") - F.col("missed") >= least)
-
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(0).to_numpy().view("uint64")
-            at = np.unique(np.concatenate([bit(h, j, bits) for j in range(PROBES)]))
-            word, first = np.unique(at >> 6, return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype("uint64"), first) if len(at) else np.zeros(0, "uint64")
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view("int64"))], names=["word", "mask"])
-
-    filled = union.select("hash").mapInArrow(set_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    table = np.zeros(-(-bits // 64), "uint64")
-    for part in filled.toArrow().to_batches():  # at most bits / 64 rows
-        table[part.column(0).to_numpy()] = part.column(1).to_numpy().view("uint64")
-    bloom = spark.sparkContext.broadcast(table)
+    asked = spark.sparkContext.broadcast(bloom(union.select("hash"), bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, shard in shards(batches, shard_bytes):
-            for k in range(1, LONGEST + 1):
-                starts = shard.whole(k)
-                h = shard.hashes(k)[starts]
-                for j in range(PROBES):
-                    at = bit(h, j, bits)
-                    ok = bloom.value[at >> 6] >> (at & 63).astype("uint64") & np.uint64(1) == 1
-                    starts, h = starts[ok], h[ok]
-                one, n, _ = shard.counted(starts, shard.names(starts, k))
-                yield from shard.rows(lang, one, k, [n], summed)
+        for lang, _, shard in shards(batches, shard_words):
+            good = np.append(passes(shard.hash, known.value, bits), False)[shard.ids]
+            all_good = good
+            for k in range(2, LONGEST + 1):
+                all_good = all_good[:-1] & good[k - 1 :]
+                starts = np.nonzero(all_good)[0].astype("int32")
+                starts = starts[passes(shard.hashes(k, starts), asked.value, bits)]
+                _, one, n = np.unique(shard.names(starts, k), return_index=True, return_counts=True)
+                yield from shard.rows(lang, starts[one], k, [n], summed)
+            del shard, good, all_good
 
     each = rows.mapInArrow(count, "lang string, phrase string, words int, a long")
-    return each.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), totals
+    longer = each.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return single.drop("hash").unionByName(longer), totals
 
 
+worded = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("hash", pa.int64()), ("a", pa.int64())])
 mined = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("hash", pa.int64()), ("a", pa.int64()), ("missed", pa.int64())])
 summed = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64())])
 
