@@ -98,6 +98,7 @@ BUILD = {
     "M11": boosted_folds,
     "M12": partial(boosted_folds, settings=SEQUENTIAL),
     "M13": spiked,
+    "M19": lambda s: trend.held_out(s, KEYS, DAY),
     "M16": lambda s: stacking.stack_weights(members(s), ["fold", *KEYS, DAY]),
     "M17": lambda s: models.validated(s, KEYS, models.replace(BOOSTED, rounds=6), day=DAY, weighted=True, **FOLDS)[0],
     "M20": lambda s: stacking.compared(members(s), ["fold", *KEYS, DAY]),
@@ -107,7 +108,7 @@ BUILD = {
     "M24": partial(importances, kind="permutation"),
     "M25": partial(importances, kind="both"),
 }
-M19 = ("select s.region, f.target, n_train, n_test, " + regional.rounds({"mae": "avg(abs(f.a - p.p))", "rmse": "sqrt(avg(power(f.a - p.p, 2)))", "r2": "case when var_pop(f.a) > 0 then 1 - avg(power(f.a - p.p, 2)) / var_pop(f.a) else 0 end"}) + """ from
+CHECK_M19 = ("select s.region, f.target, n_train, n_test, " + regional.rounds({"mae": "avg(abs(f.a - p.p))", "rmse": "sqrt(avg(power(f.a - p.p, 2)))", "r2": "case when var_pop(f.a) > 0 then 1 - avg(power(f.a - p.p, 2)) / var_pop(f.a) else 0 end"}) + """ from
  (select region, cast(floor(count(*) * 0.8) as bigint) as n_train, count(*) - cast(floor(count(*) * 0.8) as bigint) as n_test from s group by region) z
  join s on s.region = z.region and s.n > n_train cross join lateral (values ('revenue', s.revenue), ('cogs', s.cogs)) f(target, a)
  join s q on q.region = s.region and q.n = case when n_train >= 365 then n_train - 364 + (s.n - n_train - 1) % 365 else n_train end
@@ -115,9 +116,11 @@ M19 = ("select s.region, f.target, n_train, n_test, " + regional.rounds({"mae":
 
 
 def queries():
-    out = {k: (lambda spark, sf_dir, make=make: rounded(make(series(spark, sf_dir)))) for k, make in BUILD.items()}
-    return out | {"M19": lambda spark, sf_dir: rounded(trend.held_out(series(spark, sf_dir), KEYS, DAY))}
+    def on_series(make):
+        return lambda spark, sf_dir: rounded(make(shared.written(series(spark, sf_dir), "series")))
+
+    return {k: on_series(make) for k, make in BUILD.items()}
 
 
 def oracle_sql():
-    return {"M19": f"{retail.ctes(*regional.INPUTS)}{regional.REGIONAL} {M19}"}
+    return {"M19": f"{retail.ctes(*regional.INPUTS)}{regional.REGIONAL} {CHECK_M19}"}
