@@ -17,11 +17,6 @@ def mart(key, text, *names):
 
 
 mart("I01", "select order_id, product_id, order_date, customer_id, zip, order_status, order_payment_method, payment_method_paid, payment_value, installments, device_type, order_source, customer_city, age_group, acquisition_channel, shipping_city, region, district, category, segment, size, color, quantity, line_list_revenue, line_net_revenue, line_cogs, discount_amount, promo_id from lines", "lines")
-mart("T06", "select order_id, product_id, quantity, round(unit_price, 4) as unit_price, round(discount_amount, 4) as discount_amount, promo_id, promo_id_2 from order_items", "order_items")
-mart("T09", "select return_id, order_id, product_id, return_date, return_reason, return_quantity, round(refund_amount, 4) as refund_amount from returns", "returns")
-mart("T11", "select sales_date, round(revenue, 4) as revenue, round(cogs, 4) as cogs from sales", "sales")
-mart("T13", "select snapshot_date, product_id, stock_on_hand, units_received, units_sold, stockout_days, round(days_of_supply, 6) as days_of_supply, round(fill_rate, 6) as fill_rate, round(sell_through_rate, 6) as sell_through_rate, stockout_flag, overstock_flag, reorder_flag from inventory", "inventory")
-mart("T14", "select traffic_date, sessions, unique_visitors, page_views, round(bounce_rate, 6) as bounce_rate, avg_session_duration_sec, traffic_source from web_traffic", "web_traffic")
 mart("K13", """select a.order_date as sales_date, a.order_payment_method as payment_method, a.order_count, a.order_line_count, a.revenue, a.cancelled_lines, round(b.avg_payment_value, 4) as avg_payment_value, b.installment_orders
  from (select order_date, order_payment_method, count(distinct order_id) as order_count, count(*) as order_line_count, round(sum(line_net_revenue), 4) as revenue, cast(sum(case when order_status = 'cancelled' then 1 else 0 end) as bigint) as cancelled_lines from lines group by order_date, order_payment_method) a
  left join (select o.order_date, o.payment_method, avg(p.payment_value) as avg_payment_value, cast(sum(case when p.installments > 1 then 1 else 0 end) as bigint) as installment_orders from sorders o join payments p on o.order_id = p.order_id group by o.order_date, o.payment_method) b

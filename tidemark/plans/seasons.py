@@ -100,12 +100,14 @@ def correlation_sql() -> str:
 SEASON_SQL = f"""season_days as (select s.sales_date, v.r from sales s cross join (values (0), (1)) as back(k)
  join (values {", ".join(str(x) for x in SEASONS)}) as v(m, d, n, r)
  on date_diff('day', make_date(year(s.sales_date) - back.k, v.m, v.d), s.sales_date) between 0 and v.n - 1)"""
+EVENT_SQL = f"""events_days as (select distinct cast(make_date(cast(y as int), m, d) + to_days(cast(i as int)) as date) as event from range((select min(year(sales_date)) - 1 from sales), (select max(year(sales_date)) + 2 from sales)) t(y)
+ cross join (values {", ".join(str(x) for x in SEASONS)}) as v(m, d, n, r) cross join range(60) k(i) where i < n)"""
 PEAK_SQL = f"""peaks as (select make_date(cast(y as int), m, 1) as peak from range((select min(year(sales_date)) - 1 from sales), (select max(year(sales_date)) + 2 from sales)) t(y) cross join (values {", ".join(f"({m})" for m in PEAKS)}) p(m))"""
 STATS_SQL = " union all ".join(f"select '{c}_{n}' as statistic, round({f}({c}), 4) + 0.0 as value from features" for c in ("revenue", "cogs", "residual") for n, f in (("mean", "avg"), ("std", "stddev_samp")))
 CHECKS = {
     "F10": (("promotions",), "", "select month(d) as month, count(distinct d) as promo_days, count(distinct year(d)) as promo_years, round(avg(discount_value), 6) as mean_discount, round(count(distinct d)::double / count(distinct year(d)) / any_value(case when month(d) = 2 then 28.25 else day(last_day(make_date(2001, month(d), 1))) end), 6) as promo_probability from (select discount_value, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as d from promotions) x group by 1"),
     "F12": (("sales",), f", {SEASON_SQL}", "select s.sales_date, cast(count(r) > 0 as int) as is_sale_season, coalesce(max(r), 0) as sale_rank from sales s left join season_days x using (sales_date) group by s.sales_date"),
-    "F13": (("promotions", "sales"), "", f"select sales_date, cast(coalesce(min(date_diff('day', sales_date, start_date)) filter (where start_date >= sales_date), {FAR}) as int) as days_to_next, cast(coalesce(min(date_diff('day', start_date, sales_date)) filter (where start_date <= sales_date), {FAR}) as int) as days_since_last from sales left join promotions on true group by sales_date"),
+    "F13": (("sales",), f", {EVENT_SQL}", f"select sales_date, cast(coalesce(min(date_diff('day', sales_date, event)) filter (where event >= sales_date), {FAR}) as int) as days_to_next, cast(coalesce(min(date_diff('day', event, sales_date)) filter (where event <= sales_date), {FAR}) as int) as days_since_last from sales cross join events_days group by sales_date"),
     "F14": (("sales",), f", {PEAK_SQL}", f"select sales_date, cast(month(sales_date) in {PEAKS} as int) as is_peak_season, round(1.0::double / (1 + min(abs(date_diff('day', sales_date, peak)))), 8) as peak_proximity from sales cross join peaks group by sales_date"),
     "D5": (("features",), "", f"{STATS_SQL} union all select 'residual_std_over_revenue_std', round(stddev_samp(residual) / stddev_samp(revenue), 6) from features"),
     "D6": (("features",), "", f"select case when left_column = 'revenue' then right_column end as feature, abs(correlation) as correlation from ({correlation_sql()}) x where left_column = 'revenue' and right_column in {FEATURES} and correlation is not null order by 2 desc, 1 limit 5"),
@@ -113,7 +115,7 @@ CHECKS = {
 }
 BUILD = {
     "F10": lambda f: promo_months(f["promotions"]), "F12": lambda f: sale_flags(f["sales"]), "F14": lambda f: peak_proximity(f["sales"]),
-    "F13": lambda f: nearest_events(f["sales"], f["promotions"].select(F.col("start_date").alias("sales_date"))),
+    "F13": lambda f: nearest_events(f["sales"], season_days(f["sales"]).select("sales_date")),
     "D5": lambda f: target_stats(f["features"]), "D6": lambda f: top_correlations(f["features"]), "D8": lambda f: redundant_pairs(f["features"]),
 }
 

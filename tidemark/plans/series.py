@@ -125,6 +125,28 @@ def promo_future(promotions: DataFrame, first_year: int, last_year: int) -> Data
     )
 
 
+def attach_promotions(days: DataFrame, promotions: DataFrame, last_known: DataFrame) -> DataFrame:
+    """PF6: promotion columns for the days of a history and a scaffold: as they were up to the last known day, as the rules project them after it; zeros elsewhere.
+
+    last_known is one row with column `last`."""
+    marked = days.select("sales_date").crossJoin(F.broadcast(last_known.select("last")))
+    kept = ["promo_count", "promo_max_discount", "promo_stackable_count"]
+    ends = marked.agg(F.min("sales_date").alias("a"), F.max("sales_date").alias("z"), F.year(F.max("sales_date")).alias("y")).head()
+    if ends["a"] is None:
+        return days.withColumns({**{c: F.lit(0.0) for c in kept}, "is_promo": F.lit(0.0)})
+    actual = promo_days(promotions, marked).select("sales_date", *[F.col(c).cast("double").alias(c) for c in kept], F.lit(False).alias("ahead"))
+    coming = promo_future(promotions, ends["a"].year, ends["y"]).select("sales_date", *[F.col(c).cast("double").alias(c) for c in kept], F.lit(True).alias("ahead"))
+    rows = marked.withColumn("ahead", F.col("sales_date") > F.col("last")).join(actual.unionByName(coming), ["sales_date", "ahead"], "left").fillna(0.0, kept)
+    return days.join(rows.select("sales_date", *kept, (F.col("promo_count") > 0).cast("double").alias("is_promo")), "sales_date")
+
+
+def promo_frame(sales: DataFrame, promotions: DataFrame, ahead: int = 548) -> DataFrame:
+    """PF6 over the sales' days and as many after them as a forecast has."""
+    last = sales.agg(F.max("sales_date").alias("last"))
+    future = last.select(F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", ahead))).alias("sales_date"))
+    return attach_promotions(sales.select("sales_date").unionByName(future), promotions, last)
+
+
 def null_ratios(frame: DataFrame) -> DataFrame:
     """The share of nulls in each column, from one scan."""
     shares = frame.agg(*[F.round(F.avg(F.col(f"`{c}`").isNull().cast("double")), 6).alias(c) for c in frame.columns])
@@ -165,6 +187,7 @@ CHECKS = {
     "PF1": (("promotions", "sales"), ", days as (select cast(unnest(generate_series(min(sales_date), max(sales_date), interval 1 day)) as date) as sales_date from sales)", "select d.sales_date, cast(count(p.promo_id) as double) as promo_count, coalesce(max(discount_value), 0) as promo_max_discount, coalesce(round(avg(discount_value), 6), 0) as promo_mean_discount, coalesce(max(min_order_value), 0) as promo_max_min_order_value, coalesce(cast(sum(stackable_flag) as double), 0) as promo_stackable_count, cast(case when count(p.promo_id) > 0 then 1 else 0 end as double) as is_promo from days d left join promotions p on d.sales_date between p.start_date and p.end_date group by d.sales_date"),
     "PF3": (("promotions",), "", "select regexp_replace(promo_name, ' [0-9]{4}$', '') as event_name, cast(floor(median(month(start_date))) as int) as start_month, cast(floor(median(day(start_date))) as int) as start_day, cast(floor(median(date_diff('day', start_date, end_date))) as int) as duration_days, median(discount_value) as discount_value, arg_min(promo_type, start_date) as promo_type, arg_min(promo_channel, start_date) as promo_channel, arg_min(stackable_flag, start_date) as stackable_flag, max(applicable_category) as applicable_category, arg_min(min_order_value, start_date) as min_order_value, case when min(year(start_date) % 2) = 1 then 'odd' when max(year(start_date) % 2) = 0 then 'even' else 'all' end as pattern from promotions group by 1"),
     "PF5": (("promotions",), "", "select d as sales_date, count(*) as promo_count, max(k) as promo_max_discount, cast(sum(s) as bigint) as promo_stackable_count from (select cast(unnest(generate_series(make_date(y, cast(k as int), 10), make_date(y, cast(k as int), 20), interval 1 day)) as date) as d, k, s from (select distinct discount_value as k, stackable_flag as s, count(*) filter (where year(start_date) % 2 = 0) over (partition by discount_value) as evens from promotions) e cross join (select unnest([2002, 2003]) as y) z where evens > 0 or y % 2 = 1) x group by d"),
+    "PF6": (("promotions", "sales"), ", l as (select max(sales_date) as last from sales), d as (select sales_date, false as ahead from sales union all select cast(last + to_days(i::int) as date), true from l cross join (select unnest(range(1, 549)) as i) r), e as (select discount_value as k, stackable_flag as s, count(*) filter (where year(start_date) % 2 = 0) as evens, count(*) filter (where year(start_date) % 2 = 1) as odds from promotions group by all), f as (select k, s, y from e cross join (select distinct year(sales_date) as y from d) z where evens > 0 and odds > 0 or evens = 0 and y % 2 = 1 or odds = 0 and y % 2 = 0), a as (select d.sales_date, d.ahead, count(k) as n, max(k) as m, sum(s) as t from d left join (select false as ahead, start_date as x, end_date as z, discount_value as k, stackable_flag as s from promotions union all select true, make_date(cast(y as int), cast(k as int), 10), make_date(cast(y as int), cast(k as int), 20), k, s from f) p on p.ahead = d.ahead and d.sales_date between x and z group by all)", "select sales_date, cast(n as double) as promo_count, coalesce(m, 0.0) as promo_max_discount, cast(coalesce(t, 0) as double) as promo_stackable_count, cast(case when n > 0 then 1 else 0 end as double) as is_promo from a"),
     "D2": (("features",), "", "select column_name, round(null_percentage, 6) as null_ratio from (" + " union all ".join(f"select '{c}' as column_name, avg(case when {c} is null then 1.0 else 0.0 end) as null_percentage from features" for c in ("sales_date", "revenue", "cogs", "cogs_ratio", "revenue_lag_1", "revenue_lag_365", "cogs_lag_730")) + ") x"),
     "D3": (("sales",), NUMBERED, "select a.sales_date, cast(date_diff('day', b.sales_date, a.sales_date) as int) as gap_days from numbered_days a join numbered_days b on b.n = a.n - 1 where date_diff('day', b.sales_date, a.sales_date) <> 1"),
     "D7": (("sales",), NUMBERED, " union all ".join(f"select {k} as lag, round(corr(a.revenue, b.revenue), 6) as autocorrelation from numbered_days a join numbered_days b on b.n = a.n - {k}" for k in LAGS)),
@@ -172,6 +195,7 @@ CHECKS = {
 BUILD = {
     "F04": lambda f: cogs_ratio(f["sales"]), "F17": lambda f: growth(f["sales"]), "F21": lambda f: ema(f["sales"]), "F23": lambda f: volatility(f["sales"]),
     "M06": lambda f: expanding_folds(f["sales"]), "M15": lambda f: fold_weights(f["scored"]).withColumn("weight", F.round("weight", 8)), "M14": lambda f: blended(f["naive"], fold_weights(f["scored"])),
+    "PF6": lambda f: promo_frame(f["sales"], f["promotions"]),
     "PF1": lambda f: promo_days(f["promotions"], f["sales"]), "PF3": lambda f: promo_rules(f["promotions"]), "PF5": lambda f: promo_future(f["promotions"], 2002, 2003),
     "D2": lambda f: null_ratios(f["features"].select("sales_date", "revenue", "cogs", "cogs_ratio", "revenue_lag_1", "revenue_lag_365", "cogs_lag_730")), "D3": lambda f: date_gaps(f["sales"]), "D7": lambda f: autocorrelation(f["sales"]),
 }
