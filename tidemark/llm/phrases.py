@@ -99,6 +99,17 @@ class Shard:
             out.append((np.nonzero(good[a : a + BLOCK][: len(good) - 1 - a] & good[a + 1 : a + BLOCK + 1])[0] + a).astype("int32"))
         return np.concatenate(out)
 
+    def asked(self, k: int, good: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Good starts of stretches of k words that a filter lets through, and a group of each, equal stretches in one."""
+        out, group = [np.zeros(0, "int32")], [np.zeros(0, "uint8")]
+        for a in range(0, len(good), BLOCK):
+            starts = (np.nonzero(good[a : a + BLOCK])[0] + a).astype("int32")
+            h = self.hashes(k, starts)
+            ok = passes(h, table, bits)
+            out.append(starts[ok])
+            group.append((h[ok] % np.uint64(DEALS)).astype("uint8"))
+        return np.concatenate(out), np.concatenate(group)
+
     def names(self, starts: np.ndarray, k: int) -> np.ndarray:
         """Whole numbers, equal for equal stretches of k words and for no others."""
         names = self.ids[starts].astype("int64")
@@ -125,7 +136,10 @@ class Shard:
         for k in range(2, LONGEST + 1):
             # a phrase starts where one frequent part starts and the next one a word later
             left = self.pairs(number >= 0)
-            name = number[left].astype("int64") * size + number[left + 1]
+            name = np.zeros(len(left), "int64")
+            for a in range(0, len(left), BLOCK):
+                at = left[a : a + BLOCK]
+                name[a : a + BLOCK] = number[at].astype("int64") * size + number[at + 1]
             number[:], size, kept = -1, 0, []
             for own in dealt(name):
                 _, one, place, count = np.unique(name[own], return_index=True, return_inverse=True, return_counts=True)
@@ -243,10 +257,11 @@ def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col
             all_good = good
             for k in range(2, LONGEST + 1):
                 all_good = all_good[:-1] & good[k - 1 :]
-                starts = np.nonzero(all_good)[0].astype("int32")
-                starts = starts[passes(shard.hashes(k, starts), asked.value, bits)]
-                _, one, n = np.unique(shard.names(starts, k), return_index=True, return_counts=True)
-                yield from shard.rows(lang, starts[one], k, [n], summed)
+                starts, group = shard.asked(k, all_good, asked.value, bits)
+                for g in range(DEALS):
+                    own = starts[group == g]
+                    _, one, n = np.unique(shard.names(own, k), return_index=True, return_counts=True)
+                    yield from shard.rows(lang, own[one], k, [n], summed)
             del shard, good, all_good
 
     each = rows.mapInArrow(count, "lang string, phrase string, words int, a long")
