@@ -97,13 +97,13 @@ SERIES = {
     "S12": handed_over,
     "S13": lambda s: ingest.check_forecast(s.sparkSession, forecast_file(s)),
     "S11": lambda s: ingest.training_slice(ingest.modelling_frame(national(s), [DAY]), YEARS[0], DAY, 500),
-    "R07_family": lambda s: families.long(s, ["revenue", "cogs"], [*KEYS, DAY]).groupBy(*KEYS, "metric").agg(F.round(F.sum("value"), 2).alias("value")),
+    "R07_family": lambda s: families.long(s, ["revenue", "cogs"], [*KEYS, DAY]).groupBy(*KEYS, "metric").agg(F.round(F.sum("value"), 4).alias("value")),
     "R11_family": lambda s: families.grown(months(s), "month_start", "revenue", {"mom": 1, "yoy": 12}, KEYS).drop("cogs"),
     "R12_family": lambda s: rounded(families.averaged(s, DAY, "revenue", [7, 28, 30], KEYS).drop("cogs").withColumns({f"ma_{k}": F.col(f"ma_{k}") + regional.OFF for k in (7, 28, 30)}), 4),
     "R13_family": lambda s: families.line(s, DAY, "revenue", KEYS),
     "R14_family": lambda s: families.unusual(s, "revenue", KEYS).filter("state <> 'normal'").select(*KEYS, DAY, "z", "state"),
     "R15_family": lambda s: families.shared_out(months(s), "revenue", ["month_start"]).select(*KEYS, "month_start", "share"),
-    "R16_family": lambda s: rounded(families.spread(s, "region", ["ASIA", "EUROPE"], F.sum("revenue"), "revenue"), 2),
+    "R16_family": lambda s: rounded(families.spread(s, "region", ["ASIA", "EUROPE"], F.sum("revenue"), "revenue"), 4),
     "R17_family": lambda s: rounded(families.what_if(s, "revenue", [0.05, 0.1, -0.2]), 2),
     "R18_family": lambda s: families.bucketed(s, "revenue", [0, 1000, 50000], {"n_days": F.count("*"), "cogs": F.round(F.sum("cogs"), 5)}),
     "R19_family": lambda s: families.rolled(s, {"ratio": families.ratio("cogs", "revenue")}, KEYS, (DAY, "year")),
@@ -118,13 +118,13 @@ FROM_SERIES = {
     "S12": (NATION, AHEAD),
     "S13": (NATION, f"select true as columns_match, count(*) as n_rows, count(*) filter (where Date is null) as null_date, count(*) filter (where Revenue is null) as null_revenue, count(*) filter (where COGS is null) as null_cogs, true as valid from ({AHEAD})"),
     "S11": (NATION, "select sales_date, round(revenue, 6) as revenue, round(cogs, 6) as cogs from t where sales_date >= date '1995-01-01'"),
-    "R07_family": ("", "select region, 'revenue' as metric, round(sum(revenue), 2) as value from s group by region union all select region, 'cogs', round(sum(cogs), 2) from s group by region"),
+    "R07_family": ("", "select region, 'revenue' as metric, round(sum(revenue), 4) as value from s group by region union all select region, 'cogs', round(sum(cogs), 4) from s group by region"),
     "R11_family": (MONTHS, "select a.region, a.month_start, a.revenue, round(a.revenue / nullif(b.revenue, 0) - 1, 6) as mom, round(a.revenue / nullif(c.revenue, 0) - 1, 6) as yoy from m a left join m b on a.region = b.region and b.month_start = a.month_start - interval 1 month left join m c on a.region = c.region and c.month_start = a.month_start - interval 1 year"),
     "R12_family": ("", "select a.region, a.sales_date, round(a.revenue, 4) as revenue, " + rounds({f"ma_{k}": f"avg(b.revenue) filter (where b.n > a.n - {k}) + {regional.OFF}" for k in (7, 28, 30)}, 4) + " from s a join s b on a.region = b.region and b.n between a.n - 29 and a.n group by a.region, a.sales_date, a.revenue"),
     "R13_family": ("", "select region, round(regr_slope(revenue, date_diff('day', date '1970-01-01', sales_date)), 6) as slope, round(regr_r2(revenue, date_diff('day', date '1970-01-01', sales_date)), 6) as r2 from s group by region"),
     "R14_family": ("", "select s.region, sales_date, round((revenue - m) / d, 6) as z, case when revenue > m then 'spike' else 'drop' end as state from s join (select region, avg(revenue) as m, stddev_samp(revenue) as d from s group by region) x on s.region = x.region where abs(revenue - m) > 2 * d"),
     "R15_family": (MONTHS, "select m.region, m.month_start, round(revenue / nullif(total, 0), 6) as share from m join (select month_start, sum(revenue) as total from m group by month_start) x on m.month_start = x.month_start"),
-    "R16_family": ("", 'select round(sum(case when region = \'ASIA\' then revenue end), 2) as "ASIA_revenue", round(sum(case when region = \'EUROPE\' then revenue end), 2) as "EUROPE_revenue" from s'),
+    "R16_family": ("", 'select round(sum(case when region = \'ASIA\' then revenue end), 4) as "ASIA_revenue", round(sum(case when region = \'EUROPE\' then revenue end), 4) as "EUROPE_revenue" from s'),
     "R17_family": ("", "select shift, round(b * (1 + shift), 2) as projected, round(b * shift, 2) as delta from (select sum(revenue) as b from s) cross join (values (0.05::double), (0.1::double), (-0.2::double)) v(shift)"),
     "R18_family": ("", "select case when revenue > 50000 then '> 50000' when revenue > 1000 then '<= 50000' when revenue > 0 then '<= 1000' else '<= 0' end as bucket, count(*) as n_days, round(sum(cogs), 5) as cogs from s group by 1"),
     "R19_family": ("", "select region, cast(year(sales_date) as int) as year, round(sum(cogs) / nullif(sum(revenue), 0), 6) as ratio from s group by all"),
