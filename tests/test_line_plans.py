@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.plans import regional
+from tidemark.plans import quality, regional
 from tidemark.sources import retail
 
 DIR = "/root/testdata/sf0.001"
@@ -72,3 +72,30 @@ def test_tasks_grow_with_the_lines(spark):
         assert lines._jdf.queryExecution().executedPlan().toString().count(f", {retail.TASKS_A_SPLIT}), REPARTITION_BY_NUM") >= 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+def test_kept_inputs_give_the_rows_of_lazy_ones(spark, odd, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        names = ["product_health", "lifetime", "commercial", "inventory"]
+        lazy, kept = retail.load(spark, odd, names), retail.load(spark, odd, names, quality.KEPT, ["select * from lifetime", "select * from inventory"])
+        for n in names:
+            assert kept[n].dtypes == lazy[n].dtypes
+            assert shown(kept[n]) == shown(lazy[n])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_kept_inputs_hold_what_is_read(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert retail.read_of(df, "x", ["select a, count(*) from x group by a", "select c from y"]).columns == ["a"]
+    assert retail.read_of(df, "x", ["select count(*) from x"]).columns == ["a"]
+    assert retail.read_of(df, "x", ["select z.* from x z"]).columns == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("rule", ["Q01", "Q02"])
+def test_rules_read_the_order_lines_from_what_was_kept(spark, rule):
+    plan = registry.queries()[rule](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan

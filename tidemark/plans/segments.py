@@ -19,7 +19,11 @@ SHOWN = "customer_id, acquisition_channel, age_group, cast(total_orders as bigin
 
 
 def rfm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = retail.run(spark, retail.load(spark, sf_dir, ("rfm",)), BASE).persist()
+    return segmented(spark, retail.load(spark, sf_dir, ("rfm",)))
+
+
+def segmented(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    df = retail.run(spark, frames, BASE).persist()
     for score, value in SCORES.items():
         df = tiles(df, value, "customer_id", 5, score)
     return df.withColumn("rfm_segment", F.expr(SEGMENT)).selectExpr(*[c.strip() for c in SHOWN.split(",")], "rfm_segment")
