@@ -21,6 +21,7 @@ gives none; other columns are not read. Large blocks are cut into parts, and eac
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import exp
 
@@ -31,52 +32,97 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.storage import saved
 
-DIMS, FANOUT, PART_ROWS, ROUNDS, REFUSED = 64, 32, 3000, 16, 1_000_000
+DIMS, FANOUT, PART_ROWS, ROUNDS, REFUSED, HASHED_BYTES = 64, 32, 3000, 16, 1_000_000, 1 << 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= M2
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def word_hashes(text: str | None, table: bytes | None = None) -> np.ndarray:
-    """Hashes of the words of a text in order, ASCII letters lowered, parted by ASCII white space; table maps bytes first."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    raw = raw.translate(table) if table else raw
+MIXED = mix(np.arange(1, 257, dtype=np.uint64))
+GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lowered bytes in order, and where each word starts."""
     b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
-    gap = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    gap = np.ones(len(b) + 2, bool)
+    gap[1:-1] = GAP[b]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return out, starts
     lengths = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    mixed = mix(b.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(-lengths, kind="stable")
+    at, own = starts[order], np.zeros(len(starts), np.uint64)
+    longer = len(starts) - np.cumsum(np.bincount(np.minimum(lengths, 24), minlength=25))  # words of more than i bytes; they come first
     for i in range(int(min(lengths.max(), 24))):
-        on = lengths > i
-        out[on] = (out[on] * BASE) + mixed[starts[on] + i]
-    for j in np.nonzero(lengths > 24)[0]:
+        n = int(longer[i]) if i < 24 else 0
+        own[:n] *= BASE
+        own[:n] += MIXED[b[at[:n] + i]]
+    out[order] = own
+    for j in np.flatnonzero(lengths > 24):
         h = int(out[j])
         for x in raw[starts[j] + 24 : ends[j]]:
             h = (h * int(BASE) + x + 1) & 0xFFFFFFFFFFFFFFFF
         out[j] = h
-    return mix(out + lengths.astype(np.uint64))
+    return mix(out + lengths.astype(np.uint64)), starts
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    k = min(n, len(w))
-    h = np.zeros(len(w) - k + 1, np.uint64)
+def word_hashes(text: str | None, table: bytes | None = None) -> np.ndarray:
+    """Hashes of the words of a text in order, ASCII letters lowered, parted by ASCII white space; table maps bytes first."""
+    raw = lowered(text)
+    return hashed(raw.translate(table) if table else raw)[0]
+
+
+def windows(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    h = np.zeros(max(0, len(w) - k + 1), np.uint64)
     for i in range(k):
-        h = mix(h * M1 + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+        h = mix(h * M1 + w[i : i + len(h)])
+    return h
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    return next(all_shingles([text], n))
+
+
+def all_shingles(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
+    """The shingles of each text; short texts are hashed together."""
+
+    def some(raws: list[bytes]) -> Iterator[np.ndarray]:
+        w, starts = hashed(b" ".join(raws))
+        first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).tolist()
+        h = windows(w, n)
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            yield distinct(h[a : z - n + 1]) if z - a >= n else windows(w[a:z], z - a) if z > a else w[:0]
+
+    raws, size = [], 0
+    for t in texts:
+        raws.append(lowered(t))
+        size += len(raws[-1])
+        if size > HASHED_BYTES:
+            yield from some(raws)
+            raws, size = [], 0
+    if raws:
+        yield from some(raws)
 
 
 def digest(s: np.ndarray) -> int:
@@ -249,8 +295,7 @@ def shared_cells(src: DataFrame, n: int, j: float) -> DataFrame:
     def pack(frames):
         for f in frames:
             own = {}
-            for t in f["text"]:
-                s = shingles(t, n)
+            for s in all_shingles(f["text"], n):
                 if len(s):
                     own.setdefault(digest(s), s)
             part = [(vertex(d, c), class_cells(s, j, c)) for d, s in own.items() for c in classes(len(s), j)]
@@ -289,7 +334,7 @@ def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc
 
     def profile(batches):
         for b in batches:
-            own = [shingles(t, n) for t in b.column(1).to_pylist()]
+            own = list(all_shingles(b.column(1).to_pylist(), n))
             columns = [[len(s) for s in own], [digest(s) for s in own], [int(mix(s * M1 + np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in own]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_shingles", "digest", "digest2"])
 
@@ -311,8 +356,7 @@ def similar_join(docs: DataFrame, n: int = 3, j: float = 0.9, id_col: str = "doc
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
         sets = {}
-        for node, text in zip(f["node"], f["text"], strict=True):
-            own = shingles(text, n)
+        for node, own in zip(f["node"], all_shingles(f["text"], n), strict=True):
             if digest(own) == node:  # rows of one id may have unlike texts
                 sets[node] = own
         ids = np.array(sorted(sets), np.int64)
