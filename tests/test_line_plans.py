@@ -99,3 +99,13 @@ def test_kept_inputs_hold_what_is_read(spark):
 def test_rules_read_the_order_lines_from_what_was_kept(spark, rule):
     plan = registry.queries()[rule](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_quantity" not in plan
+
+
+def test_product_totals_deal_lines_by_product_alone(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        plan = retail.load(spark, DIR, ["lifetime"])["lifetime"]._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "Window" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
