@@ -109,3 +109,13 @@ def test_product_totals_deal_lines_by_product_alone(spark):
         assert "Expand" not in plan and "Window" in plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_kept_lines_are_one_table(spark, odd):
+    names = ["lines", "order_items", "sales", "inventory", "returns"]
+    kept = retail.load(spark, odd, names, quality.KEPT, [f"select * from {n}" for n in names])
+    assert kept["order_items"].inputFiles() and set(kept["order_items"].inputFiles()) == set(kept["lines"].inputFiles())
+    for n in names:
+        want = plain(spark, odd, n)
+        assert kept[n].dtypes == want.dtypes
+        assert shown(kept[n]) == shown(want)
