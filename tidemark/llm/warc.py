@@ -130,11 +130,31 @@ class Directory:
         return [r[2] for r in self.rows[bisect.bisect_left(self.last, k) : bisect.bisect_right(self.first, k)]]
 
 
+class Block:
+    """One block of captures, decoded once for all keys that are looked up in it."""
+
+    def __init__(self, block: bytes):
+        self.lines = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+        self.keys = [x[0].encode() for x in self.lines]
+
+    def captures(self, key: str) -> list[tuple[str, int, int]]:
+        """(archive, offset, length) of a key's captures, by binary search."""
+        k = key.encode()
+        return [(x[1], int(x[2]), int(x[3])) for x in self.lines[bisect.bisect_left(self.keys, k) : bisect.bisect_right(self.keys, k)]]
+
+
 def search(block: bytes, key: str) -> list[tuple[str, int, int]]:
-    """(archive, offset, length) of a key's captures in one block, by binary search."""
-    lines = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
-    keys = [x[0].encode() for x in lines]
-    return [(x[1], int(x[2]), int(x[3])) for x in lines[bisect.bisect_left(keys, key.encode()) : bisect.bisect_right(keys, key.encode())]]
+    """(archive, offset, length) of a key's captures in one block."""
+    return Block(block).captures(key)
+
+
+def pick(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    """The captures of all wanted keys in their block."""
+    rows = []
+    if len(wanted) and len(blocks):
+        block = Block(blocks["block"].iloc[0])
+        rows = [(k, *c) for k in wanted["key"] for c in block.captures(k)]
+    return pd.DataFrame(rows, columns=["key", "archive", "offset", "length"])
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
@@ -146,10 +166,6 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
             rows = [(k, b) for k in f["key"] for b in directory.blocks(k)]
             yield pd.DataFrame(rows, columns=["key", "block_id"])
 
-    def pick(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        block = bytes(blocks["block"].iloc[0]) if len(blocks) else None
-        return pd.DataFrame([(k, *c) for k in wanted["key"] for c in search(block, k)] if block else [], columns=["key", "archive", "offset", "length"])
-
     wanted = keys.select(F.translate("key", "\t\n", "  ").alias("key")).distinct().mapInPandas(find, "key string, block_id string")
     blocks = spark.read.parquet(f"{folder}/index").select("block_id", "block")
     return wanted.groupBy("block_id").cogroup(blocks.groupBy("block_id")).applyInPandas(pick, CAPTURE)
