@@ -119,3 +119,8 @@ def test_kept_lines_are_one_table(spark, odd):
         want = plain(spark, odd, n)
         assert kept[n].dtypes == want.dtypes
         assert shown(kept[n]) == shown(want)
+
+
+def test_series_derives_the_lines_once(spark):
+    plan = regional.series(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan and "l_orderkey" not in plan
